@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ledgerloom.llm import pieces, simhash, warc
+from ledgerloom.llm import pieces, pii, simhash, warc, winnow
 from ledgerloom.llm.common import table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -14,6 +14,14 @@ def op3_warc(spark, sf_dir):
     return warc.digests(table(spark, sf_dir, "pages"))
 
 
+def op6_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op7_winnowing(spark, sf_dir):
+    return winnow.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -22,5 +30,5 @@ def op9_pieces(spark, sf_dir, model_path: str = MODEL):
     return pieces.digests(table(spark, sf_dir, "documents"), model_path)
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op8_simhash, op9_pieces)}
+QUERIES = {f.__name__: f for f in (op3_warc, op6_pii, op7_winnowing, op8_simhash, op9_pieces)}
 ORACLES = {"op3_warc": warc.ORACLE}
