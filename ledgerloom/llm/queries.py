@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ledgerloom.llm import pieces, pii, simhash, warc, winnow
+from ledgerloom.llm import pieces, pii, simhash, topk, warc, winnow
 from ledgerloom.llm.common import table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_topk(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_warc(spark, sf_dir):
     return warc.digests(table(spark, sf_dir, "pages"))
 
@@ -30,5 +34,5 @@ def op9_pieces(spark, sf_dir, model_path: str = MODEL):
     return pieces.digests(table(spark, sf_dir, "documents"), model_path)
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op6_pii, op7_winnowing, op8_simhash, op9_pieces)}
-ORACLES = {"op3_warc": warc.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_topk, op3_warc, op6_pii, op7_winnowing, op8_simhash, op9_pieces)}
+ORACLES = {"op1_topk": topk.ORACLE, "op3_warc": warc.ORACLE}
