@@ -17,6 +17,7 @@ import re
 from array import array
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,9 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-KEPT = 200_000
+KEPT = 400_000
+SHORT = 48
+NONE = 1 << 40
 
 
 class Codec:
@@ -43,17 +46,49 @@ class Codec:
         self.byte_id = {int(n[3:5], 16): i for i, n in enumerate(self.names) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.control = {i for i in range(len(self.names)) if sp.is_control(i)}
+        self.rank = self.order.get
         self.splits = not any(MARK in n.lstrip(MARK) for n in self.order)
         self.spelt = [n.replace(MARK, " ") for n in self.names]
         self.rest = self.control | {self.unknown, *self.byte_of}
-        self.seen: dict[str, tuple[array, str]] = {}
-        self.older: dict[str, tuple[array, str]] = {}
+        self.end_bytes = array("i", [self.end]).tobytes()
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.odd: dict[str, str] = {}
         if sp.decode(sp.encode(" a  b\t")) != " a  b\t" or sp.decode(sp.encode("a")) != "a":
             raise ValueError("the model's normalizer is not the identity with a leading mark")
 
     def merge(self, segment: str) -> list[int]:
-        """Ids of one segment by the agenda."""
-        rank, ident = self.order.get, self.ident.get
+        """Ids of one segment by the agenda.
+
+        A short segment's agenda is the list of its pairs' ranks in place: the
+        first least one is next. A long one's is a heap."""
+        if len(segment) > SHORT:
+            parts = self._by_heap(segment)
+        else:
+            rank, none = self.rank, NONE
+            parts = list(segment)
+            agenda = [rank(x + y, none) for x, y in zip(parts, parts[1:])]
+            while agenda and (best := min(agenda)) != none:
+                i = agenda.index(best)
+                own = parts[i] = parts[i] + parts[i + 1]
+                del parts[i + 1], agenda[i]
+                if i:
+                    agenda[i - 1] = rank(parts[i - 1] + own, none)
+                if i < len(agenda):
+                    agenda[i] = rank(own + parts[i + 1], none)
+        ids: list[int] = []
+        for p in parts:
+            i = self.ident.get(p)
+            if i is not None:
+                ids.append(i)
+            elif p and self.byte_id:
+                ids.extend([self.byte_id[b] for b in p.encode()])
+            elif p:
+                ids.append(self.unknown)
+        return ids
+
+    def _by_heap(self, segment: str) -> list[str]:
+        rank = self.rank
         parts: list[str] = list(segment)
         n = len(parts)
         heap = []
@@ -85,46 +120,54 @@ class Codec:
                     r = rank(parts[prv] + own)
                     if r is not None:
                         push(heap, (r << 44) | (prv << 20) | (size + len(parts[prv])))
-        ids: list[int] = []
-        for p in parts:
-            if p:
-                i = ident(p)
-                if i is not None:
-                    ids.append(i)
-                elif self.byte_id:
-                    ids.extend([self.byte_id[b] for b in p.encode()])
-                else:
-                    ids.append(self.unknown)
-        return ids
+        return parts
 
-    def segments(self, text: str) -> list[str]:
+    def keys(self, text: str) -> list[str]:
+        """The segments of a text, each without the mark that it starts with."""
         if not text:
             return []
+        if self.splits and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
         whole = MARK + text.replace(" ", MARK)
-        return SEGMENT.findall(whole) if self.splits else [whole]
+        return [s[1:] for s in SEGMENT.findall(whole)] if self.splits else [whole[1:]]
 
-    def learn(self, segments: set[str], check: bool = True) -> None:
+    def learn(self, keys: set[str], check: bool = True) -> None:
         """Encodes segments not met before, and holds them against the library.
 
         Segments live in two generations; the older one is dropped when the
         younger is full, so those in use stay."""
         if len(self.seen) > KEPT:
             self.older, self.seen = self.seen, {}
-        seen, older, new = self.seen, self.older, []
-        for s in segments:
-            if s not in seen:
-                if s in older:
-                    seen[s] = older[s]
-                else:
-                    new.append(s)
+            self.odd = {k: v for k, v in self.odd.items() if k in self.older}
+        missing = keys.difference(self.seen)
+        older, new = self.older, []
+        for k in missing:
+            if k in older:
+                self.seen[k] = older[k]
+            else:
+                new.append(k)
         if not new:
             return
-        ids = [self.merge(s) for s in new]
+        ids = [self.merge(MARK + k) for k in new]
         if check:
-            for s, own, theirs in zip(new, ids, self.library.encode([s[1:] for s in new], num_threads=1), strict=True):
-                if own != theirs and s != MARK:  # the library gives an empty text no mark
-                    raise AssertionError(f"segment {s!r}: {own} here, {theirs} in the library")
-        self.seen.update((s, (array("i", x), self.spell(x))) for s, x in zip(new, ids, strict=True))
+            for k, own, theirs in zip(new, ids, self.library.encode(new, num_threads=1), strict=True):
+                if own != theirs and k:  # the library gives an empty text no mark
+                    raise AssertionError(f"segment {k!r}: {own} here, {theirs} in the library")
+        for k, x in zip(new, ids, strict=True):
+            self.seen[k] = array("i", x).tobytes()
+            if (text := self.spell(x)) != " " + k.replace(MARK, " "):
+                self.odd[k] = text
+
+    def packed(self, keys: list[str]) -> bytes:
+        """Ids of learnt segments and the end id, as int32."""
+        return b"".join(map(self.seen.__getitem__, keys)) + self.end_bytes
+
+    def spelled(self, keys: list[str]) -> str:
+        """The decoded text of learnt segments. Decoding goes segment by segment;
+        those that do not give back their own text are kept with what they give."""
+        if self.odd and not self.odd.keys().isdisjoint(keys):
+            return "".join([self.odd.get(k) or " " + k.replace(MARK, " ") for k in keys])[1:]
+        return " ".join(keys).replace(MARK, " ")
 
     def spell(self, ids) -> str:
         """The text of ids, with its leading space; byte ids in a row are UTF-8."""
@@ -152,9 +195,9 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
     def encode(self, text: str) -> list[int]:
-        found = self.segments(text)
+        found = self.keys(text)
         self.learn(set(found))
-        return [*chain.from_iterable(self.seen[s][0] for s in found), self.end]
+        return array("i", self.packed(found)).tolist()
 
 
 _loaded: dict[str, Codec] = {}
@@ -184,20 +227,12 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                cut = [c.segments(t or "") for t in part.column(1).to_pylist()]
+                cut = [c.keys(t or "") for t in part.column(1).to_pylist()]
                 c.learn(set(chain.from_iterable(cut)), check)
-                flat, ends, texts, seen = array("i"), array("i", [0]), [], c.seen
-                for found in cut:
-                    spelled = []
-                    for s in found:
-                        ids, text = seen[s]
-                        flat.extend(ids)
-                        spelled.append(text)
-                    flat.append(c.end)
-                    ends.append(len(flat))
-                    texts.append("".join(spelled)[1:])
-                ids = pa.ListArray.from_arrays(pa.array(memoryview(ends), pa.int32()), pa.array(memoryview(flat), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(texts, pa.string())], [id_col, "ids", "decoded"])
+                packed = [c.packed(keys) for keys in cut]
+                ends = np.cumsum([0, *map(len, packed)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([c.spelled(keys) for keys in cut], pa.string())], [id_col, "ids", "decoded"])
 
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
