@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ledgerloom.llm import pieces, pii, simhash, topk, warc, winnow
+from ledgerloom.llm import pieces, pii, quality, simhash, topk, toxicity, warc, winnow
 from ledgerloom.llm.common import table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -18,6 +18,10 @@ def op3_warc(spark, sf_dir):
     return warc.digests(table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,9 @@ def op9_pieces(spark, sf_dir, model_path: str = MODEL):
     return pieces.digests(table(spark, sf_dir, "documents"), model_path)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op3_warc, op6_pii, op7_winnowing, op8_simhash, op9_pieces)}
+def op10_quality(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op3_warc, op4_toxicity, op6_pii, op7_winnowing, op8_simhash, op9_pieces, op10_quality)}
 ORACLES = {"op1_topk": topk.ORACLE, "op3_warc": warc.ORACLE}
