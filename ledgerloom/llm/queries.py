@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ledgerloom.llm import pieces, pii, quality, simhash, topk, toxicity, warc, winnow
+from ledgerloom.llm import pieces, pii, quality, repeats, simhash, topk, toxicity, warc, winnow
 from ledgerloom.llm.common import table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -14,6 +14,10 @@ def op1_topk(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op2_repeats(spark, sf_dir):
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark, sf_dir):
     return warc.digests(table(spark, sf_dir, "pages"))
 
@@ -42,5 +46,5 @@ def op10_quality(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op3_warc, op4_toxicity, op6_pii, op7_winnowing, op8_simhash, op9_pieces, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_repeats, op3_warc, op4_toxicity, op6_pii, op7_winnowing, op8_simhash, op9_pieces, op10_quality)}
 ORACLES = {"op1_topk": topk.ORACLE, "op3_warc": warc.ORACLE}
