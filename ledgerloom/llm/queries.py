@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from ledgerloom.llm import pieces, pii, quality, repeats, simhash, topk, toxicity, warc, winnow
+from ledgerloom.llm import lm, pieces, pii, quality, repeats, simhash, topk, toxicity, warc, winnow
 from ledgerloom.llm.common import table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -26,6 +26,10 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_context_tree(spark, sf_dir):
+    return lm.report(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_quality(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_repeats, op3_warc, op4_toxicity, op6_pii, op7_winnowing, op8_simhash, op9_pieces, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_repeats, op3_warc, op4_toxicity, op5_context_tree, op6_pii, op7_winnowing, op8_simhash, op9_pieces, op10_quality)}
 ORACLES = {"op1_topk": topk.ORACLE, "op3_warc": warc.ORACLE}
