@@ -183,3 +183,57 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 def report(df: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     return groups(df).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _shingles(text: str, words: int) -> set[bytes]:
+    found = text.encode().lower().split()
+    return {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
+
+
+def similar(a: str, b: str, words: int, least: float) -> bool:
+    """Whether the texts' sets of shingles have a Jaccard similarity of `least` or more."""
+    x, y = _shingles(a, words), _shingles(b, words)
+    both = len(x & y)
+    return both >= least * (len(x) + len(y) - both)
+
+
+def one_of_each(df: DataFrame, words: int = 5, least: float = 0.8, radius: int = 12) -> DataFrame:
+    """The rows of df(doc_id, text, ...) without near copies: of each group the row of smallest doc_id stays.
+
+    Candidates are links of SimHash fingerprints within `radius` bits, taken as shortest spanning forests of
+    the tile pairs, so that a group of any size gives few a member; a candidate stands if the
+    texts' shingles are similar. Equal texts are one node. Null ids come after all
+    others. Of rows alike in id and text one stays. Columns stay as they are."""
+    node = F.xxhash64(text_or_empty("text"))
+
+    def run(batches):
+        for batch in batches:
+            fps = [fingerprint(t, words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["node", "doc_id", "fp"])
+
+    slim = df.select(node.alias("node"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    fps = slim.mapInArrow(run, "node long, doc_id long, fp long")
+    nodes = staged(fps.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "nodes")
+    heads = staged(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    same = nodes.join(heads, "fp").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = links(heads.select("fp"), radius).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).distinct()
+    near = near.join(heads.toDF("fp_a", "a"), "fp_a").join(heads.toDF("fp_b", "b"), "fp_b").select("a", "b")
+    tried = staged(same.unionByName(near), "candidates")
+    wanted = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
+    first = wanted.join(nodes.select("node", "doc_id"), "node")
+    keyed = df.select(node.alias("node"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    texts = keyed.join(first.withColumnRenamed("doc_id", "first_id"), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"])
+    texts = staged(texts, "candidate-texts")
+    pairs = tried.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+
+    def verify(batches):
+        for batch in batches:
+            ok = [similar(x, y, words, least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    rooted = nodes.join(components(pairs.mapInArrow(verify, "a long, b long")), "node", "left")
+    rooted = rooted.select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
+    kept = rooted.groupBy("root").agg(F.min(order).alias("kept")).select(F.col("kept.node").alias("__node"), F.col("kept.doc_id").alias("__id"))
+    whole = df.withColumn("__own", node).join(kept, (F.col("__own") == F.col("__node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    return whole.dropDuplicates(["__node", "__id"]).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,35 +114,44 @@ def spans(hit: np.ndarray) -> list[list[int]]:
 
 
 FOUND = "n_words long, n_hit long, items array<string>, spans array<array<int>>"
+_NAMES = ("n_words", "n_hit", "items", "spans")
+
+
+def _schema(docs: DataFrame) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), FOUND])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """`docs`' doc_id and text with n_words, n_hit, items (ids, sorted as strings) and spans (hit runs of words).
+    """`docs` with n_words, n_hit, items (ids, sorted as strings) and spans (hit runs of words).
 
     Null texts have no words; items without words or with a null id match nothing; items of one id
-    count once. Rows of docs stay as they are, repeated, tied or with a null id.
-    Columns other than doc_id and text, item_id and text are left behind."""
+    count once. Rows of docs stay as they are, repeated, tied or with a null id. Columns of docs that have
+    one of the new names are replaced; others stay."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in _NAMES])
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 32)).first()[0] or 0
     if size > most_bytes:
         return _joined(docs, items)
     index = spark.sparkContext.broadcast(Index([tuple(r) for r in items.collect()]))
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(frames):
+    def run(batches):
         own = index.value
-        for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                words = words_of(text)
-                hit, found = own.find(words)
-                rows.append((len(words), int(hit.sum()), sorted(found), spans(hit)))
-            got = pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
-            yield pd.concat([frame.reset_index(drop=True), got], axis=1)
-
-    return docs.mapInPandas(run, f"doc_id {kind}, text string, {FOUND}")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                n, hits, found, runs = [], [], [], []
+                for text in part.column("text").to_pylist():
+                    words = words_of(text)
+                    hit, ids = own.find(words)
+                    n.append(len(words))
+                    hits.append(int(hit.sum()))
+                    found.append(sorted(ids))
+                    runs.append(spans(hit))
+                new = [pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.list_(pa.int32())))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *_NAMES])
+
+    return docs.mapInArrow(run, _schema(docs))
 
 
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -149,9 +159,9 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     A window is known by the SHA-256 of its words. Short items, which winnowing does not cover,
     are joined by all runs of words of their lengths (at most nine)."""
-    key = F.sha2(F.concat_ws("|", F.col("doc_id").isNull().cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256)
-    docs = docs.withColumn("row", key)
-    once = docs.select("row", "text").dropDuplicates(["row"])
+    names = docs.columns
+    docs = docs.withColumn("__row", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    once = docs.select(F.col("__row").alias("row"), "text").dropDuplicates(["row"])
 
     def digest(w: bytes) -> bytes:
         return hashlib.sha256(w).digest()
@@ -200,20 +210,17 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     def finish(frames):
         for frame in frames:
             rows = []
-            for text, held in frame[["text", "met"]].itertuples(index=False, name=None):
+            for row, text, held, found in frame.itertuples(index=False, name=None):
                 hit = np.zeros(len(words_of(text)), bool)
                 for x in held if held is not None else ():
                     hit[x["start"] : x["start"] + x["size"]] = True
-                rows.append((len(hit), int(hit.sum()), spans(hit)))
-            got = pd.DataFrame(rows, columns=["n_words", "n_hit", "spans"])
-            yield pd.concat([frame[["doc_id", "text", "items"]].reset_index(drop=True), got], axis=1)
+                rows.append((row, len(hit), int(hit.sum()), found if found is not None else [], spans(hit)))
+            yield pd.DataFrame(rows, columns=["row", *_NAMES])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    whole = docs.join(by_row, "row", "left").join(ids, "row", "left").drop("row")
-    whole = whole.mapInPandas(finish, f"doc_id {kind}, text string, items array<string>, n_words long, n_hit long, spans array<array<int>>")
-    return whole.select("doc_id", "text", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
+    told = once.join(by_row, "row", "left").join(ids, "row", "left").mapInPandas(finish, f"row string, {FOUND}")
+    return docs.join(told, F.col("__row") == F.col("row")).select(*[F.col(f"`{c}`") for c in names], *_NAMES)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    return find(docs, benchmark).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return find(docs.select("doc_id", "text"), benchmark).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
