@@ -19,7 +19,6 @@ mask of the strings to remove.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -27,7 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import staged, workspace
+from ledgerloom.llm.common import staged
+from ledgerloom.llm.packing import one_row, pack
 from ledgerloom.llm.suffixes import common_prefixes, search, suffix_array, words
 
 SPAN = 50
@@ -112,26 +112,19 @@ def remove(docs: DataFrame, piece: int = PIECE, shard: int = SHARD, block: int =
     first = long.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_bytes").alias("size"))
     total = first.agg(F.sum("size")).first()[0] or 0
     pieces, shards = max(1, -(-total // piece)), max(1, -(-total // shard))
-    buckets = max(1, -(-pieces // 4))
     dealt = F.pmod(F.xxhash64("key", "doc_id"), F.lit(pieces)).alias("piece")
-    texts = rows.where(f"doc_id IS NOT NULL AND n_bytes >= {SPAN}").select(dealt, "key", "doc_id", "text").repartition(buckets, "piece")
-    one = first.select(dealt, "key", "doc_id").repartition(buckets, "piece")
-    chosen = texts.join(one, ["piece", "key", "doc_id"]).select("piece", "doc_id", "key", "text")
+    texts = rows.where(f"doc_id IS NOT NULL AND n_bytes >= {SPAN}").select(dealt, "key", "doc_id", "text")
 
-    def pack(frames):
-        held: dict[int, dict[tuple, bytes]] = {}
-        for frame in frames:
-            for p, doc, key, text in frame.itertuples(index=False, name=None):
-                held.setdefault(p, {})[doc, key] = bytes(text)  # a repeated row stands once
-        for p in sorted(held):
-            own = held.pop(p)
-            keys = sorted(own)
-            yield pd.DataFrame({"piece": [p], "ids": [[d for d, _ in keys]], "keys": [[k for _, k in keys]], "ends": [np.cumsum([len(own[k]) for k in keys]).tolist()], "text": [b"".join(own[k] for k in keys)]})
-
-    name = f"ledgerloom_pieces_{uuid.uuid4().hex}"
-    packed = chosen.mapInPandas(pack, "piece long, ids array<long>, keys array<string>, ends array<long>, text binary")
-    packed.write.bucketBy(buckets, "piece").option("path", workspace(spark, "pieces")).format("parquet").saveAsTable(name)
-    table = spark.table(name)
+    def pack_firsts(frame, firsts):
+        wanted = set(zip(firsts["doc_id"], firsts["key"], strict=True))
+        own = {(d, k): bytes(t) for _, k, d, t in frame.itertuples(index=False, name=None) if (d, k) in wanted}  # a repeated row stands once
+        keys = sorted(own)
+        if not keys:
+            return pd.DataFrame(columns=["piece", "ids", "keys", "ends", "text"])
+        return one_row(piece=frame["piece"].iloc[0], ids=[d for d, _ in keys], keys=[k for _, k in keys], ends=np.cumsum([len(own[k]) for k in keys]).tolist(), text=b"".join(own[k] for k in keys))
+
+    held = pack(texts, pieces, pack_firsts, "piece long, ids array<long>, keys array<string>, ends array<long>, text binary", first.select(dealt, "key", "doc_id"))
+    table = held.table
 
     def anchors(frames):
         for frame in frames:
@@ -161,10 +154,6 @@ def remove(docs: DataFrame, piece: int = PIECE, shard: int = SHARD, block: int =
 
     found = table.mapInPandas(anchors, "shard long, piece long, names binary, several binary").groupBy("shard").applyInPandas(shared, "shard long, piece long, names binary")
 
-    def by_piece(answers: DataFrame, column: str) -> DataFrame:
-        got = answers.repartition(buckets, "piece").groupBy("piece").agg(F.collect_list(F.struct("shard", column)).alias("answers"))
-        return table.join(got.hint("shuffle_hash"), "piece", "left")
-
     def segments(frames):
         for frame in frames:
             for row in frame.itertuples(index=False):
@@ -189,7 +178,7 @@ def remove(docs: DataFrame, piece: int = PIECE, shard: int = SHARD, block: int =
                 if out:
                     yield pd.DataFrame(out, columns=["shard", "piece", "segments"])
 
-    sent = by_piece(found, "names").mapInPandas(segments, "shard long, piece long, segments binary")
+    sent = held.with_answers(found, "names").mapInPandas(segments, "shard long, piece long, segments binary")
 
     def settle(key, frame):
         number: dict[bytes, int] = {}
@@ -243,7 +232,7 @@ def remove(docs: DataFrame, piece: int = PIECE, shard: int = SHARD, block: int =
                 for at in range(0, len(out), 500):
                     yield pd.DataFrame(out[at : at + 500], columns=["key", "spans", "kept"])
 
-    done = by_piece(settled, "masks").mapInPandas(finish, "key string, spans array<array<long>>, kept binary")
+    done = held.with_answers(settled, "masks").mapInPandas(finish, "key string, spans array<array<long>>, kept binary")
     done = done.select("key", "spans", F.sha2("kept", 256).alias("kept_sha256"))
     # Copies and first texts: what they keep follows from the digest alone.
     whole = known.join(first.select("key", F.col("doc_id").alias("first_id")), "key", "left").join(done, "key", "left")
