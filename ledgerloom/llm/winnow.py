@@ -174,12 +174,14 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     def item_windows(frames):
         for frame in frames:
             rows = [(i, digest(w), min(len(words_of(t)), WINDOW)) for i, t in frame.itertuples(index=False, name=None) for w in set(windows_of(words_of(t)))]
-            yield pd.DataFrame(rows, columns=["item", "window", "size"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["item", "window", "size"])
 
     def doc_prints(frames):
         for frame in frames:
             got = [(r, np.unique(fingerprints(words_of(t))[0]).view(np.int64)) for r, t in frame.itertuples(index=False, name=None)]
-            yield pd.DataFrame({"row": [r for r, h in got for _ in h], "print": np.concatenate([np.empty(0, np.int64), *(h for _, h in got)])})
+            if any(len(h) for _, h in got):
+                yield pd.DataFrame({"row": [r for r, h in got for _ in h], "print": np.concatenate([np.empty(0, np.int64), *(h for _, h in got)])})
 
     prints = items.mapInPandas(item_prints, "print long").distinct()
     windows = staged(items.mapInPandas(item_windows, "item string, window binary, size int"), "bench-windows")
@@ -197,7 +199,8 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
                     around = place[np.isin(h.view(np.int64), np.asarray(held, np.int64))]
                     rows += [(row, s, WINDOW, digest(b" ".join(words[s : s + WINDOW]))) for s in starts(around, len(words))]
                 rows += [(row, s, n, digest(b" ".join(words[s : s + n]))) for n in sizes for s in range(len(words) - n + 1)]
-            yield pd.DataFrame(rows, columns=["row", "start", "size", "window"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["row", "start", "size", "window"])
 
     tried = once.join(near, "row", "left" if sizes else "inner").select("row", "text", "prints")
     made = tried.mapInPandas(doc_windows, "row string, start int, size int, window binary")
@@ -215,10 +218,11 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
                 for x in held if held is not None else ():
                     hit[x["start"] : x["start"] + x["size"]] = True
                 rows.append((row, len(hit), int(hit.sum()), found if found is not None else [], spans(hit)))
-            yield pd.DataFrame(rows, columns=["row", *_NAMES])
+            if rows:
+                yield pd.DataFrame(rows, columns=["row", *_NAMES])
 
-    told = once.join(by_row, "row", "left").join(ids, "row", "left").mapInPandas(finish, f"row string, {FOUND}")
-    return docs.join(told, F.col("__row") == F.col("row")).select(*[F.col(f"`{c}`") for c in names], *_NAMES)
+    told = once.join(by_row, "row", "left").join(ids, "row", "left").mapInPandas(finish, f"row string, {FOUND}").withColumnRenamed("row", "__told")
+    return docs.join(told, F.col("__row") == F.col("__told")).select(*[F.col(f"`{c}`") for c in names], *_NAMES)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
