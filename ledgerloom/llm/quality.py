@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000  # texts that train the scorer, at most about
 SIZE = 1 << 14  # hashed features
 KEEP = 0.5
-PRIOR, RARE = 1.0, (0.002, 0.098, 0.9)  # weight of the prior on good texts' votes; shares of bad, no and good votes
+PRIOR, RARE = 1.0, 0.002
 COMMON = ".,;:'\"()-"  # punctuation of plain prose
 LABELLERS = ("capitals", "symbols", "repeats", "lines", "variety", "letters", "words")
 
@@ -99,7 +99,8 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[d
 
     Votes are taken as independent given the class. Bad texts are of several
     kinds, each seen by a few labellers only, so the start and a prior say what a
-    bad vote is: rare among good texts (PRIOR of the texts, shared out as RARE)."""
+    bad vote is: rare among good texts. The prior weighs as much as PRIOR of the
+    texts, RARE of them bad votes and the rest as the labeller votes otherwise."""
     if not patterns:
         return {}, np.full((2, len(LABELLERS), 3), 1 / 3)
     keys = sorted(patterns)
@@ -107,11 +108,13 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[d
     c = np.array([patterns[k] for k in keys], float)
     bad = (v == 0).sum(1)
     good = np.array([0.97, 0.5])[np.minimum(bad, 1)] * np.where(bad > 1, 0.1, 1.0)
+    other = np.stack([((v == x) * c[:, None]).sum(0) + 0.5 for x in (1, 2)])
+    prior_votes = PRIOR * c.sum() * np.vstack([np.full(v.shape[1], RARE), (1 - RARE) * other / other.sum(0)])
     for _ in range(rounds):
         table = np.empty((2, v.shape[1], 3))
         for k, w in enumerate((c * (1 - good), c * good)):
             for x in range(3):
-                table[k, :, x] = ((v == x) * w[:, None]).sum(0) + 0.5 + (PRIOR * c.sum() * RARE[x] if k else 0)
+                table[k, :, x] = ((v == x) * w[:, None]).sum(0) + 0.5 + k * prior_votes[x]
             table[k] /= table[k].sum(1, keepdims=True)
         prior = np.clip((c * good).sum() / c.sum(), 0.01, 0.99)
         log = [np.log(p) + np.log(table[k][np.arange(v.shape[1]), v]).sum(1) for k, p in enumerate((1 - prior, prior))]
