@@ -28,8 +28,8 @@ from ledgerloom.llm.packing import one_row, pack
 
 DEPTH = 5
 SPLIT = 3  # context bytes that name a shard
-PIECE = 6 << 20
-SHARD = 6 << 20  # bytes of all texts for each shard
+PIECE = 8 << 20
+SHARD = 8 << 20  # bytes of all texts for each shard
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -80,18 +80,28 @@ class _Piece:
         self.ids, self.held = row.ids, np.asarray(row.held, bool)
         starts = [0, *row.ends[:-1]]
         self.texts = [row.text[a:b] for a, b in zip(starts, row.ends, strict=True)]
-        self.grams = [ctw.grams(t, DEPTH) for t in self.texts]
-        self.keys = np.unique(np.concatenate(self.grams))
+        self.keys = np.unique(np.concatenate([np.unique(g) for g in self._grams(range(len(self.texts)))]))
         where = _shard_of_grams(self.keys, shards)
         self.order = np.argsort(where, kind="stable")
         self.shards = where[self.order]
 
+    def _grams(self, texts):
+        """Grams of the texts in runs of about a megabyte, so that a piece never has all of its own at once."""
+        held, size = [np.empty(0, np.uint64)], 0
+        for i in texts:
+            held.append(ctw.grams(self.texts[i], DEPTH))
+            size += len(held[-1])
+            if size > 1 << 20:
+                yield np.concatenate(held)
+                held, size = [], 0
+        if held:
+            yield np.concatenate(held)
+
     def messages(self, shards: int):
         counts = np.zeros(len(self.keys), np.int64)
-        training = [g for g, h in zip(self.grams, self.held, strict=True) if not h]
-        if training:
-            value, n = np.unique(np.concatenate(training), return_counts=True)
-            counts[np.searchsorted(self.keys, value)] = n
+        for g in self._grams(np.flatnonzero(~self.held)):
+            value, n = np.unique(g, return_counts=True)
+            counts[np.searchsorted(self.keys, value)] += n
         split: dict[int, list[bytes]] = {}
         words: Counter = Counter()
         for t, h in zip(self.texts, self.held, strict=True):
@@ -225,7 +235,8 @@ def scores(docs: DataFrame, held_out, piece: int = PIECE, shard: int = SHARD) ->
                 logs = {w: math.log10(c + 0.5) for w, c in known.items()}
                 unknown = {w for w, c in known.items() if not c}
                 out = []
-                for i, h, t, g in zip(own.ids, own.held.tolist(), own.texts, own.grams, strict=True):
+                for i, h, t in zip(own.ids, own.held.tolist(), own.texts, strict=True):
+                    g = ctw.grams(t, DEPTH)
                     found = tokens(t)
                     missed = sum(map(unknown.__contains__, found))
                     base = math.fsum(chain(map(logs.__getitem__, found), (end,))) - (len(found) + 1) * scale

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from ledgerloom.plans import relational
+
+_BOOKS = (relational,)
+QUERIES: dict = {k: v for b in _BOOKS for k, v in b.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for b in _BOOKS for k, v in b.ORACLES.items()}
