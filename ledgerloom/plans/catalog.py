@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import figures, language, relational, scores, text
+from ledgerloom.plans import figures, filings, language, relational, scores, text
 
-_BOOKS = (text, relational, figures, scores, language)
+_BOOKS = (text, relational, figures, scores, language, filings)
 QUERIES: dict = {k: v for b in _BOOKS for k, v in b.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for b in _BOOKS for k, v in b.ORACLES.items()}
