@@ -100,7 +100,7 @@ def pair_bootstrap(df: DataFrame, pair: str, label: str, a: str, b: str, n_boot:
         edges.append(total)
         term /= k
     weight = sum(((u >= e).cast("int") for e in edges), F.lit(0))
-    means = reps.withColumn("w", weight).groupBy("rep").agg((F.sum(F.col("w") * F.col("gap")) / F.sum("w")).alias("m"))
+    means = reps.withColumn("w", weight).groupBy("rep").agg(F.try_divide(F.sum(F.col("w") * F.col("gap")), F.sum("w")).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 

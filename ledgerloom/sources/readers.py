@@ -27,7 +27,7 @@ def read_tsv_export(spark: SparkSession, path: str, names: dict[str, str]) -> Da
     """Tab-separated without quotes; headers renamed, day-first dates read, entities decoded."""
     df = spark.read.option("header", True).option("sep", "\t").option("quote", "").csv(path)
     df = df.select(*[F.col(f"`{c}`").alias(names.get(c.strip(), c.strip().lower().replace(" ", "_"))) for c in df.columns])
-    return df.select(*[(F.try_to_date(c, F.lit("dd-MM-yyyy")) if c.endswith("_date") else unescape(F.col(c))).alias(c) for c in df.columns])
+    return df.select(*[(F.try_to_date(c, "dd-MM-yyyy") if c.endswith("_date") else unescape(F.col(c))).alias(c) for c in df.columns])
 
 
 def unescape(text: Column) -> Column:

@@ -33,14 +33,19 @@ def current(spark, path: str) -> DataFrame:
     return whole.where(F.col("batch") == newest).drop("batch")
 
 
+def stamped(stream: DataFrame, time: str) -> DataFrame:
+    """Watermarks need a time with a zone; one without is read in the session's."""
+    return stream if dict(stream.dtypes)[time] == "timestamp" else stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def each_once(stream: DataFrame, keys: Sequence[str], time: str, late: str = "1 day") -> DataFrame:
     """First record of each key; state is dropped once the watermark has passed."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
+    return stamped(stream, time).withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
 def windowed(stream: DataFrame, time: str, by: Sequence[str], width: str, value: str, late: str = "1 hour") -> DataFrame:
     """Counts and sums by event-time window."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    return stamped(stream, time).withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
 
 
 def published(df: DataFrame, date: str, fy_end: str, lag_days: int = 60) -> DataFrame:
