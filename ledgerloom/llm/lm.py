@@ -28,7 +28,7 @@ from ledgerloom.llm.packing import one_row, pack
 
 DEPTH = 5
 SPLIT = 3  # context bytes that name a shard
-PIECE = 8 << 20
+PIECE = 6 << 20
 SHARD = 8 << 20  # bytes of all texts for each shard
 
 
@@ -36,6 +36,13 @@ def tokens(text: bytes) -> list[bytes]:
     return text.split()  # at ASCII white space
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each is there; by sorting, which is faster here than hashing."""
+    s = np.sort(x)
+    at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, np.int64)
+    return s[at], np.diff(np.append(at, len(s)))
+
+
 def _shard_of_grams(keys: np.ndarray, shards: int) -> np.ndarray:
     c = (keys >> np.uint64(8)) & np.uint64((1 << (8 * SPLIT)) - 1)
     c = (c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
@@ -80,27 +87,27 @@ class _Piece:
         self.ids, self.held = row.ids, np.asarray(row.held, bool)
         starts = [0, *row.ends[:-1]]
         self.texts = [row.text[a:b] for a, b in zip(starts, row.ends, strict=True)]
-        self.keys = np.unique(np.concatenate([np.unique(g) for g in self._grams(range(len(self.texts)))]))
+        self.keys = distinct(np.concatenate([distinct(g)[0] for g, _ in self.runs(range(len(self.texts)))]))[0]
         where = _shard_of_grams(self.keys, shards)
         self.order = np.argsort(where, kind="stable")
         self.shards = where[self.order]
 
-    def _grams(self, texts):
-        """Grams of the texts in runs of about a megabyte, so that a piece never has all of its own at once."""
-        held, size = [np.empty(0, np.uint64)], 0
+    def runs(self, texts):
+        """Grams of the texts, and whose they are, in runs of about a megabyte, so that a piece never has all of its own at once."""
+        held, own, size = [np.empty(0, np.uint64)], [], 0
         for i in texts:
             held.append(ctw.grams(self.texts[i], DEPTH))
+            own.append(i)
             size += len(held[-1])
             if size > 1 << 20:
-                yield np.concatenate(held)
-                held, size = [], 0
-        if held:
-            yield np.concatenate(held)
+                yield np.concatenate(held), np.repeat(own, [len(h) for h in held[1:]])
+                held, own, size = held[:1], [], 0
+        yield np.concatenate(held), np.repeat(np.array(own, np.int64), [len(h) for h in held[1:]])
 
     def messages(self, shards: int):
         counts = np.zeros(len(self.keys), np.int64)
-        for g in self._grams(np.flatnonzero(~self.held)):
-            value, n = np.unique(g, return_counts=True)
+        for g, _ in self.runs(np.flatnonzero(~self.held).tolist()):
+            value, n = distinct(g)
             counts[np.searchsorted(self.keys, value)] += n
         split: dict[int, list[bytes]] = {}
         words: Counter = Counter()
@@ -122,7 +129,9 @@ class _Piece:
 
 def _merged(messages: list[Message]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys of all messages, their summed counts, and where each message's keys are among them."""
-    keys, at = np.unique(np.concatenate([m.keys for m in messages]), return_inverse=True)
+    every = np.concatenate([m.keys for m in messages])
+    keys = distinct(every)[0]
+    at = np.concatenate([np.searchsorted(keys, m.keys) for m in messages])  # each message's keys are sorted
     return keys, np.bincount(at, np.concatenate([m.counts for m in messages]), len(keys)), at
 
 
@@ -234,13 +243,16 @@ def scores(docs: DataFrame, held_out, piece: int = PIECE, shard: int = SHARD) ->
                         known.update(zip(body[at:].split(b" "), np.frombuffer(body, np.int64, n_words, 4 * n_keys).tolist(), strict=True))
                 logs = {w: math.log10(c + 0.5) for w, c in known.items()}
                 unknown = {w for w, c in known.items() if not c}
+                total = np.zeros(len(own.texts))
+                for g, whose in own.runs(range(len(own.texts))):
+                    order = np.argsort(g)  # sorted, the grams are found in passing
+                    total += np.bincount(whose[order], value[np.searchsorted(own.keys, g[order])], len(total))
                 out = []
-                for i, h, t in zip(own.ids, own.held.tolist(), own.texts, strict=True):
-                    g = ctw.grams(t, DEPTH)
+                for i, h, t, s in zip(own.ids, own.held.tolist(), own.texts, total.tolist(), strict=True):
                     found = tokens(t)
-                    missed = sum(map(unknown.__contains__, found))
+                    missed = sum(map(unknown.__contains__, found)) if h else 0
                     base = math.fsum(chain(map(logs.__getitem__, found), (end,))) - (len(found) + 1) * scale
-                    out.append((i, h, len(found) + 1, len(found) - missed + (learned > 0), base, float(value[np.searchsorted(own.keys, g)].sum())))
+                    out.append((i, h, len(found) + 1, len(found) - missed + (learned > 0), base, s))
                 got = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
                 yield got.astype({"doc_id": "Int64"}) if kind in ("bigint", "int") else got
 

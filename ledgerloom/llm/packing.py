@@ -30,7 +30,7 @@ class Pieces:
 def pack(rows: DataFrame, pieces: int, make, schema: str, chosen: DataFrame | None = None) -> Pieces:
     """One row for each piece, of make(frame), or make(frame, the chosen rows) where given; both have a column piece."""
     spark = rows.sparkSession
-    buckets = max(1, -(-pieces // 4))
+    buckets = max(1, pieces)
     dealt = rows.repartition(buckets, "piece").groupBy("piece")
     if chosen is None:
         made = dealt.applyInPandas(make, schema)
