@@ -19,11 +19,14 @@ class Book:
         self.queries: dict = {}
         self.oracles: dict[str, str] = {}
 
-    def add(self, sql: str | None):
+    def add(self, sql: str | None, **types: str):
+        """types: columns of the SQL whose type differs between the engines, and the type that they get."""
+
         def put(f):
             self.queries[f.__name__] = f
             if sql:
-                self.oracles[f.__name__] = sql
+                told = ", ".join(f'CAST("{c}" AS {t}) AS "{c}"' for c, t in types.items())
+                self.oracles[f.__name__] = f"SELECT * REPLACE ({told}) FROM ({sql})" if types else sql
             return f
 
         return put

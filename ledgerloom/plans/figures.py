@@ -77,7 +77,7 @@ def winsorise_by_fold(s, d):
 
 
 @book.add("""
-SELECT o_orderkey, round_even(greatest(0.0, least(1.0, CASE WHEN o_orderstatus = 'P' THEN 0.7 ELSE 1.0 END * CASE WHEN o_orderpriority LIKE '1%' THEN 0.9 ELSE 1.0 END * coalesce(CASE WHEN o_totalprice > 100000 THEN 0.85 END, 1.0))), 4) AS confidence FROM orders
+SELECT o_orderkey, CAST(round_even(greatest(0.0, least(1.0, CASE WHEN o_orderstatus = 'P' THEN 0.7 ELSE 1.0 END * CASE WHEN o_orderpriority LIKE '1%' THEN 0.9 ELSE 1.0 END * coalesce(CASE WHEN o_totalprice > 100000 THEN 0.85 END, 1.0))), 4) AS DOUBLE) AS confidence FROM orders
 """)
 def field_confidence(s, d):
     return table(s, d, "orders").select("o_orderkey", R.confidence(F.when(F.col("o_orderstatus") == "P", 0.7).otherwise(1.0), F.when(F.col("o_orderpriority").startswith("1"), 0.9).otherwise(1.0), F.when(F.col("o_totalprice") > 100000, 0.85)).alias("confidence"))

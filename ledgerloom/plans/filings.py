@@ -55,7 +55,7 @@ def html_table_rows(s, d):
     return readers.html_rows(p, {"host": "host", "link": "link"}, "https://example.org")
 
 
-@book.add("SELECT o_orderkey, CASE WHEN month(o_orderdate) > 3 THEN year(o_orderdate) + 1 ELSE year(o_orderdate) END AS fy, CASE WHEN month(o_orderdate) > 3 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END AS reference_fy, round_even(date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') / 30.44, 1) AS months FROM orders")
+@book.add("SELECT o_orderkey, CASE WHEN month(o_orderdate) > 3 THEN year(o_orderdate) + 1 ELSE year(o_orderdate) END AS fy, CASE WHEN month(o_orderdate) > 3 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END AS reference_fy, round_even(date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') / 30.44, 1) AS months FROM orders", fy="INTEGER", reference_fy="INTEGER")
 def fiscal_years(s, d):
     day = F.col("o_orderdate").cast("date")
     return table(s, d, "orders").select("o_orderkey", fiscal.fy_of(day).alias("fy"), fiscal.reference_fy(day).alias("reference_fy"), fiscal.months_between_days(F.datediff(F.lit("2002-01-01").cast("date"), day)).alias("months"))

@@ -42,7 +42,7 @@ b AS (SELECT DISTINCT pair_id, fy FROM r WHERE role = 'distressed' AND exclude_r
 SELECT fy, role, exclude_reason, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (
   SELECT r.fy, role, o_orderkey, CASE WHEN role = 'healthy' AND exclude_reason = '' AND b.pair_id IS NOT NULL THEN 'pair_partner_excluded' ELSE exclude_reason END AS exclude_reason FROM r LEFT JOIN b ON r.pair_id = b.pair_id AND r.fy = b.fy)
 GROUP BY ALL
-""")
+""", fy="INTEGER")
 def exclusion_cascade(s, d):
     o = _orders_year(s, d).select("o_orderkey", "o_custkey", "fy", F.when(F.col("o_custkey") % 2 == 0, "healthy").otherwise("distressed").alias("role"), (F.col("o_custkey") - F.col("o_custkey") % 2).alias("pair_id"), T.cascade(
         ("missing", F.col("o_orderstatus").isNull()), ("wrong_status", F.col("o_orderstatus") == "P"),
@@ -69,7 +69,7 @@ def eligibility_reasons(s, d):
 WITH y AS (SELECT DISTINCT o_custkey, year(o_orderdate) AS fy FROM orders), l AS (SELECT DISTINCT o_custkey, year(o_orderdate) AS fy FROM orders WHERE o_orderstatus <> 'P'),
 k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY fy DESC) AS r FROM l)
 SELECT y.o_custkey, y.fy, CASE WHEN r <= 3 THEN 't-' || r END AS horizon FROM y LEFT JOIN k ON y.o_custkey = k.o_custkey AND y.fy = k.fy
-""")
+""", fy="INTEGER")
 def horizon_rank(s, d):
     y = _orders_year(s, d).groupBy("o_custkey", "fy").agg(F.bool_or(F.col("o_orderstatus") != "P").alias("led"))
     return T.horizon(y, ["o_custkey"], "fy", F.col("led"), 3).select("o_custkey", "fy", "horizon")
@@ -88,7 +88,7 @@ def sample_frame(s, d):
 @book.add("""
 WITH y AS (SELECT o_custkey, year(o_orderdate) AS fy, sum(o_totalprice) AS revenue FROM orders GROUP BY 1, 2)
 SELECT c.o_custkey, c.fy, round(c.revenue, 2) AS revenue, round(p.revenue, 2) AS previous_revenue, round((c.revenue - p.revenue) / nullif(p.revenue, 0), 6) AS growth FROM y c LEFT JOIN y p ON p.o_custkey = c.o_custkey AND p.fy = c.fy - 1
-""")
+""", fy="INTEGER")
 def previous_year_delta(s, d):
     y = T.previous_year(_yearly(s, d), ["o_custkey"], "fy", ["revenue"])
     return y.select("o_custkey", "fy", F.round("revenue", 2).alias("revenue"), F.round("previous_revenue", 2).alias("previous_revenue"), F.round(F.try_divide(F.col("revenue") - F.col("previous_revenue"), F.col("previous_revenue")), 6).alias("growth"))
@@ -204,7 +204,7 @@ m AS (SELECT k, cl, quantile_cont(lg, 0.5) AS mid FROM c GROUP BY k, cl, n_all H
 o AS (SELECT c.k, c.fy, c.v, c.cl, m.cl AS main, lg - mid AS off FROM c LEFT JOIN m ON m.k = c.k),
 p AS (SELECT k, fy, v, CASE WHEN cl <> main AND abs(off - 2) <= 0.15 THEN 2 WHEN cl <> main AND abs(off + 2) <= 0.15 THEN -2 WHEN cl <> main AND abs(off - 3) <= 0.15 THEN 3 WHEN cl <> main AND abs(off + 3) <= 0.15 THEN -3 WHEN cl <> main AND abs(off - 5) <= 0.15 THEN 5 WHEN cl <> main AND abs(off + 5) <= 0.15 THEN -5 WHEN cl <> main AND abs(off - 7) <= 0.15 THEN 7 WHEN cl <> main AND abs(off + 7) <= 0.15 THEN -7 ELSE 0 END AS power FROM o)
 SELECT k, fy, power, round(v / 10.0 ** power, 2) AS fixed FROM p
-""")
+""", fy="INTEGER")
 def unit_slip_repair(s, d):
     y = _yearly(s, d).select(F.col("o_custkey").alias("k"), "fy", (F.col("revenue") * F.when((F.col("o_custkey") + F.col("fy")) % 11 == 0, 100000.0).otherwise(1.0)).alias("v"))
     return T.unit_slips(y, "k", "fy", "v").select("k", "fy", "power", F.round("fixed", 2).alias("fixed"))
@@ -213,7 +213,7 @@ def unit_slip_repair(s, d):
 @book.add("""
 WITH y AS (SELECT l_suppkey AS k, year(l_shipdate) AS fy, count(*) AS a, round(sum(l_quantity) / 100, 0) AS b, round(avg(l_tax), 2) AS c, max(l_linenumber) AS e FROM lineitem GROUP BY 1, 2)
 SELECT k, fy, same, same >= 2 AS stale FROM (SELECT c.k, c.fy, (CASE WHEN c.a = p.a THEN 1 ELSE 0 END + CASE WHEN c.b = p.b THEN 1 ELSE 0 END + CASE WHEN c.c = p.c THEN 1 ELSE 0 END + CASE WHEN c.e = p.e THEN 1 ELSE 0 END) AS same FROM y c JOIN y p ON p.k = c.k AND p.fy = c.fy - 1)
-""")
+""", fy="INTEGER")
 def yoy_stale_copy(s, d):
     y = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.year("l_shipdate").alias("fy")).agg(F.count(F.lit(1)).alias("a"), F.round(F.sum("l_quantity") / 100, 0).alias("b"), F.round(F.avg("l_tax"), 2).alias("c"), F.max("l_linenumber").alias("e"))
     p = T.previous_year(y, ["k"], "fy", ["a", "b", "c", "e"]).where(F.col("previous_a").isNotNull())
@@ -260,7 +260,7 @@ def distinct_years(s, d):
 
 @book.add("""
 SELECT c_custkey, r AS round, c_nationkey FROM (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r <= 2
-""")
+""", round="INTEGER")
 def round_robin_sample(s, d):
     return T.first_per_key(table(s, d, "customer"), ["c_nationkey"], F.desc("c_acctbal"), F.col("c_custkey"), n=2, rank="round").select("c_custkey", "round", "c_nationkey")
 

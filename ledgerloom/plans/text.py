@@ -195,7 +195,7 @@ def boilerplate_share(s, d):
 @book.add(f"""
 WITH x AS (SELECT doc_id, {sql_sentences()} AS s FROM documents), f AS (SELECT doc_id, list_filter(s, lambda y: len(string_split(y, ' ')) >= 5)[1:200] AS s FROM x)
 SELECT doc_id, len(s) AS n_sentences, coalesce(list_sum(list_transform(s, lambda y: len(string_split(y, ' ')))), 0) AS n_words FROM f
-""")
+""", n_words="BIGINT")
 def long_sentences(s, d):
     """The first 200 sentences of five words or more: the operator's own limit."""
     kept = F.slice(F.filter(X.sentences(X.as_text("text")), lambda y: F.size(F.split(y, " ")) >= 5), 1, 200)
