@@ -22,7 +22,7 @@ SAMPLE = 20_000  # texts that train the scorer, at most about
 SIZE = 1 << 14  # hashed features
 KEEP = 0.5
 PRIOR, RARE = 1.0, 0.002
-COMMON = ".,;:'\"()-"  # punctuation of plain prose
+COMMON = b".,;:'\"()-"  # punctuation of plain prose
 LABELLERS = ("capitals", "symbols", "repeats", "lines", "variety", "letters", "words")
 
 
@@ -32,36 +32,47 @@ class _Shapes:
     def __init__(self):
         self.seen: dict[str, int] = {}
 
-    def __getitem__(self, token: str) -> int:
-        got = self.seen.get(token)
-        if got is None:
+    def learnt(self, tokens: list[str]) -> dict[str, int]:
+        """Shapes of all these tokens at least."""
+        if len(self.seen) > 300_000:
+            self.seen = {}
+        for token in set(tokens).difference(self.seen):
             shape = re.sub(r"(.)\1+", r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in token[:64]))
-            if len(self.seen) > 300_000:
-                self.seen = {}
-            got = self.seen[token] = zlib.crc32(shape.encode()) % (SIZE - 64)
-        return got
+            self.seen[token] = zlib.crc32(shape.encode()) % (SIZE - 64)
+        return self.seen
+
+
+PLAIN_END = re.compile(r"[.,;:]+(?=\s|$)")
+_UPPER, _LETTERS, _DIGITS = (bytes(r) for r in (range(65, 91), [*range(65, 91), *range(97, 123)], range(48, 58)))
+_WIDE = bytes(range(128, 256))
 
 
 def measures(text: str) -> dict[str, float]:
-    """What the labellers look at, each a share from 0 to 1, and the number of words."""
+    """What the labellers look at, each a share from 0 to 1, and the number of words.
+
+    Characters are counted in bulk: those beyond ASCII count as small letters."""
     tokens = text.split()
     n = len(tokens)
-    letters = sum(map(str.isalpha, text)) if n else 0
-    capitals = sum(map(str.isupper, text)) if n else 0
+    raw = text.encode()
+    size, wide = len(raw), len(text) - len(raw.translate(None, _WIDE))
+    capitals = size - len(raw.translate(None, _UPPER))
+    letters = size - len(raw.translate(None, _LETTERS)) + wide
+    digits = size - len(raw.translate(None, _DIGITS))
     chars = sum(map(len, tokens))
-    odd = chars - sum(map(text.count, COMMON)) - sum(map(str.isalnum, text)) if n else 0
+    odd = chars - letters - digits - (size - len(raw.translate(None, COMMON)))
     lines = [x for x in text.split("\n") if x.strip()]
     count = Counter(tokens)
-    runs = Counter(zip(tokens, tokens[1:], tokens[2:]))
+    ids = np.fromiter(map(hash, tokens), np.int64, n)
+    threes = np.sort(ids[:-2] * 0x9E3779B1 + ids[1:-1] * 0x85EBCA6B + ids[2:])
     return {
         "n": n,
         "capitals": capitals / max(1, letters),
         "symbols": max(0, odd) / max(1, chars),
-        "plain": sum(1 for t in tokens if t.isalpha() or t[:-1].isalpha()) / max(1, n),
-        "repeats": 1 - len(runs) / max(1, n - 2) if n > 2 else 0.0,
+        "plain": sum(map(str.isalpha, PLAIN_END.sub(" ", text).split())) / max(1, n),
+        "repeats": float((threes[1:] == threes[:-1]).sum()) / (n - 2) if n > 2 else 0.0,
         "lines": 1 - len(set(lines)) / max(1, len(lines)),
         "top": max(count.values(), default=0) / max(1, n),
-        "adjacent": sum(map(str.__eq__, tokens, tokens[1:])) / max(1, n - 1),
+        "adjacent": float((ids[1:] == ids[:-1]).sum()) / max(1, n - 1),
     }
 
 
@@ -85,7 +96,8 @@ def votes(m: dict[str, float]) -> list[int]:
 
 def features(text: str, m: dict[str, float], shapes: _Shapes) -> dict[int, float]:
     """Hashed shapes by share of tokens, and the measures in steps."""
-    count = Counter(map(shapes.__getitem__, text.split()))
+    tokens = text.split()
+    count = Counter(map(shapes.learnt(tokens).__getitem__, tokens))
     n = max(1, sum(count.values()))
     out = {k: math.sqrt(c / n) for k, c in count.items()}
     for i, name in enumerate(("capitals", "symbols", "plain", "repeats", "lines", "top", "adjacent")):
