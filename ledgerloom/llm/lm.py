@@ -167,7 +167,8 @@ def scores(docs: DataFrame, held_out, piece: int = PIECE, shard: int = SHARD) ->
     end, by smoothed counts. Repeated rows are learned from as often as they stand there. With nothing
     to learn from, every decision is even and the base has no words."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    # Ids travel as text: pandas would make a column of whole numbers with a null one of floats.
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     total, learned = rows.agg(F.sum(F.octet_length("text") + 1), F.sum((~F.col("held_out")).cast("long"))).first()
     learned = learned or 0
     pieces, shards = max(1, -(-(total or 0) // piece)), max(1, -(-(total or 0) // shard))
@@ -176,10 +177,9 @@ def scores(docs: DataFrame, held_out, piece: int = PIECE, shard: int = SHARD) ->
 
     def packed(frame):
         texts = [bytes(t).lower() for t in frame["text"]]
-        ids = [None if pd.isna(i) else i for i in frame["doc_id"]]
-        return one_row(piece=frame["piece"].iloc[0], ids=ids, held=frame["held_out"].tolist(), ends=np.cumsum([len(t) for t in texts]).tolist(), text=b"".join(texts))
+        return one_row(piece=frame["piece"].iloc[0], ids=frame["doc_id"].tolist(), held=frame["held_out"].tolist(), ends=np.cumsum([len(t) for t in texts]).tolist(), text=b"".join(texts))
 
-    held = pack(rows, pieces, packed, f"piece long, ids array<{kind}>, held array<boolean>, ends array<long>, text binary")
+    held = pack(rows, pieces, packed, "piece long, ids array<string>, held array<boolean>, ends array<long>, text binary")
 
     def send(frames):
         for frame in frames:
@@ -253,11 +253,10 @@ def scores(docs: DataFrame, held_out, piece: int = PIECE, shard: int = SHARD) ->
                     missed = sum(map(unknown.__contains__, found)) if h else 0
                     base = math.fsum(chain(map(logs.__getitem__, found), (end,))) - (len(found) + 1) * scale
                     out.append((i, h, len(found) + 1, len(found) - missed + (learned > 0), base, s))
-                got = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-                yield got.astype({"doc_id": "Int64"}) if kind in ("bigint", "int") else got
+                yield pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    done = held.with_answers(answers, "answer").mapInPandas(add_up, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    done = held.with_answers(answers, "answer").mapInPandas(add_up, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return done.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def report(docs: DataFrame) -> DataFrame:

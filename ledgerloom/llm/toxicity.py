@@ -22,6 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -235,11 +236,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(frames):
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": [sent.value.score(t or "") for t in frame["text"]]})
+    def run(batches):
+        for batch in batches:
+            scores = [sent.value.score(t or "") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

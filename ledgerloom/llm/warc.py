@@ -89,7 +89,8 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     nth = Window.partitionBy("key", "no_id", "hex").orderBy("url")
     placed = placed.withColumn("nth", F.row_number().over(nth))
     own = F.col("first_id").eqNullSafe(F.col("page_id")) & (F.col("nth") == 1)
-    placed = placed.select("page_id", "url", "html", "hex", F.when(F.col("shared") & ~own, "revisit").otherwise("response").alias("record_type"), F.when(F.col("shared") & ~own, F.col("first_id")).alias("refers_to"))
+    # Ids travel as text: pandas would make a column of whole numbers with a null one of floats.
+    placed = placed.select(F.col("page_id").cast("string"), "url", "html", "hex", F.when(F.col("shared") & ~own, "revisit").otherwise("response").alias("record_type"), F.when(F.col("shared") & ~own, F.col("first_id")).cast("string").alias("refers_to"))
 
     def run(frames):
         files, path = _files(folder)
@@ -98,7 +99,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
         for frame in frames:
             rows = []
             for page_id, url, html, hexed, kind, refers in frame.itertuples(index=False, name=None):
-                page_id, refers = (None if pd.isna(x) else int(x) for x in (page_id, refers))
+                page_id, refers = (None if x is None else int(x) for x in (page_id, refers))
                 digest = base64.b32encode(bytes.fromhex(hexed)).decode()
                 made = zlib.compressobj(3, zlib.DEFLATED, 31)
                 packed = made.compress(record(page_id, url, html, kind, refers, digest)) + made.flush()
