@@ -234,8 +234,10 @@ def remove(docs: DataFrame, piece: int = PIECE, shard: int = SHARD, block: int =
 
     done = held.with_answers(settled, "masks").mapInPandas(finish, "key string, spans array<array<long>>, kept binary")
     done = done.select("key", "spans", F.sha2("kept", 256).alias("kept_sha256"))
-    # Copies and first texts: what they keep follows from the digest alone.
-    whole = known.join(first.select("key", F.col("doc_id").alias("first_id")), "key", "left").join(done, "key", "left")
+    # Copies and first texts: what they keep follows from the digest alone. One row a text is written
+    # first, so that the join of all rows with it is of two plain exchanges, and a hot digest can be split.
+    told = staged(first.select("key", F.col("doc_id").alias("first_id")).join(done, "key", "left"), "told")
+    whole = known.join(told, "key", "left")
     plain = F.col("doc_id").isNull() | (F.col("n_bytes") < SPAN)
     copy = F.col("doc_id") > F.col("first_id")
     everything = F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))

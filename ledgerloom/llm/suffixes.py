@@ -18,49 +18,36 @@ import numpy as np
 def words(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as a number; beyond the end they are zero."""
     n = len(text)
-    out = np.zeros(n, np.uint64)
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    for k in range(8):
-        out |= padded[k : k + n].astype(np.uint64) << np.uint64(56 - 8 * k)
+    out = np.empty(n, np.uint64)
+    padded = text.tobytes() + bytes(16)
+    for k in range(min(8, n)):  # every eighth place at once, read where it lies
+        out[k::8] = np.frombuffer(padded, ">u8", (n - k + 7) // 8, k)
     return out
 
 
 def suffix_array(text: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank) of all suffixes; a suffix that ends earlier comes first."""
     n = len(text)
-    key = words(text) if first is None else first
-    order = np.argsort(key, kind="stable")
-    # Eight zero bytes and a shorter suffix look alike: the last suffixes are ranked by their length too.
-    tail = np.arange(max(0, n - 8), n)
-    head = np.empty(n, bool)
+    if n and (text == 0).any():  # zero bytes look like the end: start from single bytes, where nothing is padded
+        key, h = text, 1
+    else:
+        key, h = words(text) if first is None else first, 8
+    order = np.argsort(key)
     rank = np.empty(n, np.int64)
-    if n:
-        head[0] = True
-        head[1:] = key[order[1:]] != key[order[:-1]]
-        rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
-    h = 8
-    split = n > 1 and not key[tail].all() and bool((text == 0).any())
-    if split:  # zero bytes in the text: start from single bytes, where nothing is padded
-        order = np.argsort(text, kind="stable")
-        head[1:] = text[order[1:]] != text[order[:-1]]
-        rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
-        h = 1
-    while h < 2 * n:
-        group = np.cumsum(head) - 1
-        alone = np.diff(np.append(np.flatnonzero(head), n)) == 1
-        at = np.flatnonzero(~alone[group]) if n else np.empty(0, np.int64)
-        if not len(at):
-            break
+    at = np.arange(n)  # places whose group is not settled
+    told = key[order]
+    while len(at):
+        starts = np.ones(len(at), bool)
+        starts[1:] = told[1:] != told[:-1]
+        head = np.flatnonzero(starts)
+        size = np.diff(np.append(head, len(at)))
+        rank[order[at]] = np.repeat(at[head], size)
+        at = at[np.repeat(size > 1, size)]
         place = order[at]
         nxt = np.where(place + h < n, rank[np.minimum(place + h, n - 1)] + 1, 0)
         mixed = rank[place] * (n + 1) + nxt
-        new = np.argsort(mixed, kind="stable")
-        place, mixed = place[new], mixed[new]
-        order[at] = place
-        starts = np.ones(len(at), bool)
-        starts[1:] = mixed[1:] != mixed[:-1]
-        head[at] |= starts
-        rank[order[at]] = at[np.flatnonzero(starts)][np.cumsum(starts) - 1]
+        new = np.argsort(mixed)
+        order[at], told = place[new], mixed[new]
         h *= 2
     return order, rank
 
