@@ -12,7 +12,6 @@ contraction on tables of edges (see components.py).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
