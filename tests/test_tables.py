@@ -1,5 +1,3 @@
-import datetime as dt
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,4 +87,3 @@ def test_horizon_upsert_and_columns(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     assert rows(T.upsert(old, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"])) == [(1, "a"), (2, "c"), (3, "d")]
     assert T.live_columns(spark.createDataFrame([(1, 5, None), (2, 5, None)], "a int, b int, c int")) == ["a"]
-    assert dt.date(2020, 1, 1)
