@@ -196,18 +196,19 @@ def similar(a: str, b: str, words: int, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both)
 
 
-def one_of_each(df: DataFrame, words: int = 5, least: float = 0.8, radius: int = 12) -> DataFrame:
+def one_of_each(df: DataFrame, words: int = 5, least: float = 0.8, radius: int = 12, print_words: int = 2) -> DataFrame:
     """The rows of df(doc_id, text, ...) without near copies: of each group the row of smallest doc_id stays.
 
     Candidates are links of SimHash fingerprints within `radius` bits, taken as shortest spanning forests of
     the tile pairs, so that a group of any size gives few a member; a candidate stands if the
-    texts' shingles are similar. Equal texts are one node. Null ids come after all
+    texts' shingles of `words` words are similar. The fingerprints are of shorter shingles, of `print_words`: an edit
+    changes fewer of these, so similar texts lie well within the radius. Equal texts are one node. Null ids come after all
     others. Of rows alike in id and text one stays. Columns stay as they are."""
     node = F.xxhash64(text_or_empty("text"))
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t, words) for t in batch.column("text").to_pylist()]
+            fps = [fingerprint(t, print_words) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["node", "doc_id", "fp"])
 
     slim = df.select(node.alias("node"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
