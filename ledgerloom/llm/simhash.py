@@ -196,42 +196,144 @@ def similar(a: str, b: str, words: int, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both)
 
 
-def one_of_each(df: DataFrame, words: int = 5, least: float = 0.8, radius: int = 12, print_words: int = 2) -> DataFrame:
+CELLS, CHUNK = 1 << 22, 1 << 12
+SLACK = 1e-9  # a product of `least` may be rounded up; a bound never cuts by that
+
+
+def _hashes(text: str, words: int) -> np.ndarray:
+    """The distinct shingles' XXH64, sorted."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in _shingles(text, words)), np.uint64))
+
+
+def _commonness(texts: DataFrame, words: int) -> np.ndarray:
+    """A byte for each of CELLS cells of shingle hashes: how often its shingles occur, in half powers of two."""
+
+    def count(batches):
+        held = np.zeros(CELLS, np.uint32)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                cell, n = np.unique(_hashes(text, words) & np.uint64(CELLS - 1), return_counts=True)
+                held[cell] += n.astype(np.uint32)
+        parts = held.reshape(-1, CHUNK)
+        for at in np.array_split(np.flatnonzero(parts.any(axis=1)), 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([parts[k].tobytes() for k in at], pa.binary())], ["chunk", "counts"])
+
+    def total(found: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(v.as_buffer(), np.uint32).astype(np.int64) for v in found["counts"])
+        return pa.table({"chunk": found["chunk"][:1], "level": pa.array([np.rint(2 * np.log2(1 + n)).astype(np.uint8).tobytes()], pa.binary())})
+
+    level = np.zeros((CELLS // CHUNK, CHUNK), np.uint8)
+    for row in texts.mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(total, "chunk int, level binary").collect():  # CELLS bytes
+        level[row["chunk"]] = np.frombuffer(row["level"], np.uint8)
+    return level.ravel()
+
+
+def _prefix(h: np.ndarray, level: np.ndarray, least: float) -> np.ndarray:
+    """The rarest shingles by the common order, so many that a similar set must share one."""
+    rare = np.lexsort((h, level[(h & np.uint64(CELLS - 1)).astype(np.int64)]))
+    return h[rare[: len(h) - int(np.ceil(least * len(h) - SLACK)) + 1]]
+
+
+def _parities(h: np.ndarray) -> np.ndarray:
+    """Four words: for each of 256 classes of shingles, whether an odd number is there."""
+    odd = np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _meet(buckets: DataFrame, least: float, star: bool) -> DataFrame:
+    """Pairs (a, b) of nodes in one bucket (gram, members) that sizes and parities do not rule out.
+
+    As a star, those of one centre, which the gram picks; otherwise those of other nodes that have different roots."""
+    apart = (1 - least) / (1 + least)  # the share of both sizes that similar sets may differ by
+
+    def run(batches):
+        for batch in batches:
+            members, grams = batch.column(1), batch.column(0).to_pylist()
+            node, root, size, *marks = (v.to_numpy(zero_copy_only=False) for v in members.flatten().flatten())
+            marks, ends = np.stack(marks, axis=1).view(np.uint64), np.cumsum(np.concatenate(([0], members.value_lengths().to_numpy()))).tolist()
+            out = []
+
+            def keep(i, j):
+                n, m = size[i], size[j]
+                ok = np.minimum(n, m) >= least * np.maximum(n, m) - SLACK
+                i, j = i[ok], j[ok]
+                ok = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64) <= apart * (size[i] + size[j]) + SLACK
+                out.append(np.stack([np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])], axis=1))
+
+            for gram, at, end in zip(grams, ends[:-1], ends[1:], strict=True):
+                own = np.argsort(node[at:end]) + at
+                centre = own[gram % len(own)]
+                own = own[own != centre]
+                if star:
+                    keep(np.full(len(own), centre), own)
+                    continue
+                roots, n = np.unique(root[own], return_counts=True)
+                most = root[own] == roots[n.argmax()] if len(own) else own
+                few, rest = own[most == 0], own[most == 1]
+                for k, i in enumerate(few):
+                    j = np.concatenate([rest, few[k + 1 :]])
+                    j = j[root[j] != root[i]]
+                    keep(np.full(len(j), i), j)
+            found = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return buckets.mapInArrow(run, "a long, b long").distinct()
+
+
+def one_of_each(df: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of df(doc_id, text, ...) without near copies: of each group the row of smallest doc_id stays.
 
-    Candidates are links of SimHash fingerprints within `radius` bits, taken as shortest spanning forests of
-    the tile pairs, so that a group of any size gives few a member; a candidate stands if the
-    texts' shingles of `words` words are similar. The fingerprints are of shorter shingles, of `print_words`: an edit
-    changes fewer of these, so similar texts lie well within the radius. Equal texts are one node. Null ids come after all
+    Groups are the components of all pairs of texts whose sets of shingles of `words` words have a Jaccard
+    similarity of `least` or more. Two such sets share one of their rarest shingles, 1 - `least` of each set and one
+    more in any order common to both, so every such pair meets in a shingle's bucket (but for equal 64-bit hashes of different
+    shingles). A pair that meets is ruled out only by bounds that no similar pair exceeds, and tried otherwise. First each
+    bucket's members are tried with one centre; then all pairs that are not in one group by then. The order is by
+    a count of shingles in cells, which decides the cost alone. Equal texts are one node. Null ids come after all
     others. Of rows alike in id and text one stays. Columns stay as they are."""
     node = F.xxhash64(text_or_empty("text"))
+    slim = df.select(node.alias("node"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    level = _commonness(slim.select("text"), words)
+    marks = ["s0", "s1", "s2", "s3"]
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t, print_words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["node", "doc_id", "fp"])
-
-    slim = df.select(node.alias("node"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    fps = slim.mapInArrow(run, "node long, doc_id long, fp long")
-    nodes = staged(fps.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "nodes")
-    heads = staged(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
-    same = nodes.join(heads, "fp").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    near = links(heads.select("fp"), radius).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).distinct()
-    near = near.join(heads.toDF("fp_a", "a"), "fp_a").join(heads.toDF("fp_b", "b"), "fp_b").select("a", "b")
-    tried = staged(same.unionByName(near), "candidates")
-    wanted = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
-    first = wanted.join(nodes.select("node", "doc_id"), "node")
-    keyed = df.select(node.alias("node"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    texts = keyed.join(first.withColumnRenamed("doc_id", "first_id"), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"])
-    texts = staged(texts, "candidate-texts")
-    pairs = tried.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+            sets = [_hashes(t, words) for t in batch.column("text").to_pylist()]
+            odd = np.array([_parities(h) for h in sets], np.int64).reshape(-1, 4)
+            grams = pa.array([_prefix(h, level, least).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(odd[:, k]) for k in range(4)), grams],
+                ["node", "doc_id", "size", *marks, "grams"],
+            )
+
+    prints = staged(slim.mapInArrow(run, "node long, doc_id long, size long, s0 long, s1 long, s2 long, s3 long, grams array<long>"), "prints")
+    nodes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("size", *marks))), "nodes")
+    met = prints.select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(F.collect_set("node").alias("members")).where(F.size("members") > 1)
+    shared = staged(met.select("gram", F.explode("members").alias("node")).join(nodes.drop("doc_id"), "node"), "shared")
+
+    def buckets(rows):
+        member = F.struct("node", "root", "size", *marks)
+        return rows.groupBy("gram").agg(F.collect_list(member).alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram", "members")
 
     def verify(batches):
         for batch in batches:
             ok = [similar(x, y, words, least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    rooted = nodes.join(components(pairs.mapInArrow(verify, "a long, b long")), "node", "left")
+    def stand(tried):
+        tried = staged(tried, "candidates")
+        wanted = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
+        first = wanted.join(nodes.select("node", F.col("doc_id").alias("first_id")), "node")
+        texts = slim.join(first, "node").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"])
+        texts = staged(texts, "candidate-texts")
+        pairs = tried.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+        return staged(pairs.mapInArrow(verify, "a long, b long"), "similar")
+
+    alone = shared.withColumn("root", F.col("node"))
+    spokes = stand(_meet(buckets(alone), least, True))
+    grouped = components(spokes).toDF("node", "root")
+    rest = shared.join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = spokes.unionByName(stand(_meet(buckets(rest), least, False)))
+    rooted = nodes.select("node", "doc_id").join(components(linked), "node", "left")
     rooted = rooted.select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
     kept = rooted.groupBy("root").agg(F.min(order).alias("kept")).select(F.col("kept.node").alias("__node"), F.col("kept.doc_id").alias("__id"))

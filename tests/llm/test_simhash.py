@@ -90,5 +90,42 @@ def test_one_of_each(frame):
     assert simhash.one_of_each(frame([])).count() == 0
 
 
+def smallest_of_groups(texts):
+    """The lowest place of each group of texts joined by pairs of Jaccard similarity 0.8 or more, all pairs tried."""
+    sets = [simhash._shingles(t, 5) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return [i for i in range(len(texts)) if root[i] == i]
+
+
+def test_one_of_each_tries_every_pair(frame):
+    """Many texts near one another, of which some pairs are similar and others not."""
+    draw = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(400):
+        own = list(base)
+        for at in draw.integers(0, 120, i % 6):
+            own[at] = f"x{draw.integers(0, 30)}"
+        if i % 3:  # other words' order: near by fingerprint, far by shingles
+            cut = int(draw.integers(20, 100))
+            own = own[cut:] + own[:cut]
+            own[10 : 10 + i % 40] = own[10 : 10 + i % 40][::-1]
+        texts.append(" ".join(own))
+    got = simhash.one_of_each(frame(list(enumerate(texts))))
+    assert sorted(r["doc_id"] for r in got.collect()) == smallest_of_groups(texts)
+
+
 def test_empty_table(frame):
     assert simhash.report(frame([])).count() == 0
