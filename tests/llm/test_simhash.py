@@ -127,5 +127,20 @@ def test_one_of_each_tries_every_pair(frame):
     assert sorted(r["doc_id"] for r in got.collect()) == smallest_of_groups(texts)
 
 
+def test_one_of_each_finds_pairs_far_by_fingerprint(frame):
+    """Short texts, texts extended up to the bound, and a line repeated many times."""
+    draw = np.random.default_rng(6)
+    texts = []
+    for k in range(60):
+        words = [f"t{k}v{i}" for i in draw.integers(0, 10**6, 404)]
+        texts += [" ".join(words[:9]), " ".join(words[:8])]
+        texts += [" ".join(["long", *words[9:92]]), " ".join(["long", *words[9:112]])]  # 80 of 100 shingles
+        line = " ".join(words[112:122])
+        texts += [" ".join(words[112:404]), " ".join([*words[112:404], *[line] * 40])]
+    got = simhash.one_of_each(frame(list(enumerate(texts))))
+    kept = sorted(r["doc_id"] for r in got.collect())
+    assert kept == smallest_of_groups(texts) == list(range(0, len(texts), 2))
+
+
 def test_empty_table(frame):
     assert simhash.report(frame([])).count() == 0
