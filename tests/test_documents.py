@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import documents as D
 from ledgerloom.operators import evaluation as V
 from ledgerloom.operators import fuzzy, models
+from ledgerloom.plans import language
 from ledgerloom.operators import ratios as R
 from ledgerloom.sources import readers as S
 from ledgerloom.streaming import keyed
@@ -69,6 +70,13 @@ def test_evaluation_by_hand(spark):
     assert models.median_filled(df, "fold", "s", "f").count() == 5
 
 
+def test_fuzzy_name_topk_matches_every_part(spark, tmp_path):
+    names = ["almond antique", "blush khaki", "cornflower drab", "dodger firebrick", "ghost honeydew", "ivory lavender", "magenta navajo", "olive peru"]
+    spark.createDataFrame(list(enumerate(names, 1)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = language.fuzzy_name_topk(spark, str(tmp_path)).where("rank = 1").collect()
+    assert sorted((r["left_id"], r["right_id"]) for r in got) == [(k, k) for k in range(1, 9)]
+
+
 def test_fuzzy_match(spark):
     left = spark.createDataFrame([(1, "JAYPEE INFRATECH"), (2, "JAYPE INFRATECH"), (3, "QQQQ")], "left_id int, name string")
     right = spark.createDataFrame([(10, "INFRATECH JAYPEE"), (11, "JAYPEE CEMENT"), (12, "OTHER")], "right_id int, name string")
