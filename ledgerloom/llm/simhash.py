@@ -17,10 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import staged, text_or_empty
+from ledgerloom.llm.common import fresh, shuffle_partitions, staged, text_or_empty
 from ledgerloom.llm.components import components
 
 TILE = 16_384
+PAIRS = 64  # tile pairs for each task, at most, on average
 SEED = 42
 
 
@@ -158,8 +159,9 @@ def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
                     o.append(v.astype(np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], ["a", "b", "distance"])
 
-    spark_rows = joined.repartition(8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return spark_rows.mapInArrow(run, "a long, b long, distance long")
+    sizes = sum(tiles[c] * tiles[e] for c, e in nears)
+    spread = joined.repartition(max(8 * shuffle_partitions(spark), -(-sizes // PAIRS)))
+    return spread.mapInArrow(run, "a long, b long, distance long")
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -169,7 +171,9 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     differing bits, the row itself included. Null ids are passed over by that
     minimum; a group of null ids only has a null component. Texts that are null
     or without words have fingerprint zero, which links like any other. Rows of
-    one fingerprint, however many, are one node; repeated rows stay repeated."""
+    one fingerprint, however many, are one node; repeated rows stay repeated. A
+    text may have any length. Other columns are left behind, whatever their
+    names. An empty table gives no rows."""
     fps = staged(fingerprints(df, id_col, text_col, words), "fps")
     distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     found = components(links(distinct, radius).select("a", "b"))
@@ -197,12 +201,31 @@ def similar(a: str, b: str, words: int, least: float) -> bool:
 
 
 CELLS, CHUNK = 1 << 22, 1 << 12
+MEMBERS = 4096  # nodes of a shingle's bucket that one tile has
+RADIUS = 4  # bits by which fingerprints of the first candidates differ
 SLACK = 1e-9  # a product of `least` may be rounded up; a bound never cuts by that
 
 
 def _hashes(text: str, words: int) -> np.ndarray:
-    """The distinct shingles' XXH64, sorted."""
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in _shingles(text, words)), np.uint64))
+    """A hash of each distinct shingle, sorted: its words' hashes are mixed by place."""
+    found = text.encode().lower().split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    n, width = max(1, len(h) - words + 1), min(words, len(h))
+    mixed = np.full(n, width, np.uint64)
+    for k in range(width):
+        mixed = (mixed ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(31)
+    mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.unique(mixed ^ (mixed >> np.uint64(29)))
+
+
+def _majority(h: np.ndarray) -> int:
+    """The fingerprint of distinct shingles: a bit is 1 if set in over half of them; signed."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(h), 4096):
+        part = h[at : at + 4096]
+        total += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(h), bitorder="little").view(np.int64)[0])
 
 
 def _commonness(texts: DataFrame, words: int) -> np.ndarray:
@@ -240,79 +263,118 @@ def _parities(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _meet(buckets: DataFrame, least: float, star: bool) -> DataFrame:
-    """Pairs (a, b) of nodes in one bucket (gram, members) that sizes and parities do not rule out.
+MARKS = ("s0", "s1", "s2", "s3")
+
+
+def _apart(least: float) -> float:
+    """The share of both sizes by which similar sets may differ."""
+    return (1 - least) / (1 + least)
+
+
+def _possible(a: str, b: str, least: float):
+    """Whether sizes and parities of two nodes (struct columns a, b) leave a similarity of `least` open."""
+    n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
+    far = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in MARKS), F.lit(0))
+    return (F.least(n, m) >= least * F.greatest(n, m) - SLACK) & (far <= _apart(least) * (n + m) + SLACK)
 
-    As a star, those of one centre, which the gram picks; otherwise those of other nodes that have different roots."""
-    apart = (1 - least) / (1 + least)  # the share of both sizes that similar sets may differ by
+
+def _ordered(a: str, b: str):
+    return F.least(F.col(a), F.col(b)).alias("a"), F.greatest(F.col(a), F.col(b)).alias("b")
+
+
+def _spokes(shared: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of one node of each bucket, which the gram picks, with the others; built-in functions only."""
+    member = F.struct("node", "size", *MARKS)
+    centre = shared.groupBy("gram").agg(F.min(F.struct(F.xxhash64("node", "gram").alias("turn"), member.alias("c"))).alias("least"))
+    met = shared.select("gram", member.alias("m")).join(centre.select("gram", "least.c"), "gram")
+    return met.where((F.col("m.node") != F.col("c.node")) & _possible("m", "c", least)).select(*_ordered("m.node", "c.node"))
+
+
+def _rest(shared: DataFrame, least: float, members: int = MEMBERS) -> DataFrame:
+    """Pairs (a, b) of nodes that are in one bucket and have different roots, where sizes and parities allow them.
+
+    A bucket is dealt into tiles of bounded size, which meet pair by pair, so none is ever whole in one place."""
+    spread = shared.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / members).cast("int").alias("tiles"))
+    spread = spread.where("low < high").select("gram", "tiles")
+    dealt = shared.join(spread, "gram").withColumn("tile", F.pmod(F.xxhash64(F.lit(11), "node"), F.col("tiles")).cast("int"))
+    packed = staged(dealt.groupBy("gram", "tiles", "tile").agg(F.collect_list(F.struct("node", "root", "size", *MARKS)).alias("m")), "buckets")
+    alone = packed.where("tiles = 1").select("m", F.lit(None).cast(packed.schema["m"].dataType).alias("n"))
+    large = packed.where("tiles > 1")
+    names = large.select("gram", "tile")
+    pairs = names.join(names.withColumnRenamed("tile", "other"), "gram").where("tile <= other")
+    first = pairs.join(large.select("gram", "tile", "m"), ["gram", "tile"])
+    both = first.join(large.select("gram", F.col("tile").alias("other"), F.col("m").alias("n")), ["gram", "other"])
+    both = both.select("m", F.when(F.col("tile") < F.col("other"), F.col("n")).alias("n"))
+
+    def opened(column):
+        node, root, size, *marks = (v.to_numpy(zero_copy_only=False) for v in column.flatten().flatten())
+        return node, root, size, np.stack(marks, axis=1).view(np.uint64), np.cumsum(np.concatenate(([0], column.value_lengths().fill_null(0).to_numpy()))).tolist()
 
     def run(batches):
         for batch in batches:
-            members, grams = batch.column(1), batch.column(0).to_pylist()
-            node, root, size, *marks = (v.to_numpy(zero_copy_only=False) for v in members.flatten().flatten())
-            marks, ends = np.stack(marks, axis=1).view(np.uint64), np.cumsum(np.concatenate(([0], members.value_lengths().to_numpy()))).tolist()
+            (node, root, size, marks, ends), other = opened(batch.column(0)), opened(batch.column(1))
             out = []
-
-            def keep(i, j):
-                n, m = size[i], size[j]
-                ok = np.minimum(n, m) >= least * np.maximum(n, m) - SLACK
-                i, j = i[ok], j[ok]
-                ok = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64) <= apart * (size[i] + size[j]) + SLACK
-                out.append(np.stack([np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])], axis=1))
-
-            for gram, at, end in zip(grams, ends[:-1], ends[1:], strict=True):
-                own = np.argsort(node[at:end]) + at
-                centre = own[gram % len(own)]
-                own = own[own != centre]
-                if star:
-                    keep(np.full(len(own), centre), own)
-                    continue
-                roots, n = np.unique(root[own], return_counts=True)
-                most = root[own] == roots[n.argmax()] if len(own) else own
-                few, rest = own[most == 0], own[most == 1]
-                for k, i in enumerate(few):
-                    j = np.concatenate([rest, few[k + 1 :]])
-                    j = j[root[j] != root[i]]
-                    keep(np.full(len(j), i), j)
+            for at, whole in enumerate(batch.column(1).is_null().to_pylist()):
+                x = slice(ends[at], ends[at + 1])
+                right = [v[x] for v in (node, root, size, marks)] if whole else [v[other[4][at] : other[4][at + 1]] for v in other[:4]]
+                order = np.argsort(right[2], kind="stable")  # by size: what is too small or large is never touched
+                name, top, count, mark = (v[order] for v in right)
+                low = np.searchsorted(count, least * size[x] - SLACK)
+                high = np.searchsorted(count, size[x] / least + SLACK, side="right")
+                for i, a, b in zip(range(ends[at], ends[at + 1]), low.tolist(), high.tolist(), strict=True):
+                    j = np.flatnonzero(top[a:b] != root[i]) + a
+                    if whole:
+                        j = j[name[j] > node[i]]
+                    far = np.bitwise_count(marks[i] ^ mark[j]).sum(axis=1, dtype=np.int64)
+                    j = j[far <= _apart(least) * (size[i] + count[j]) + SLACK]
+                    if len(j):
+                        out.append(np.stack([np.minimum(node[i], name[j]), np.maximum(node[i], name[j])], axis=1))
             found = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    return buckets.mapInArrow(run, "a long, b long").distinct()
+    return alone.mapInArrow(run, "a long, b long").unionByName(both.mapInArrow(run, "a long, b long"))
 
 
-def one_of_each(df: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+def one_of_each(df: DataFrame, words: int = 5, least: float = 0.8, radius: int = RADIUS, members: int = MEMBERS) -> DataFrame:
     """The rows of df(doc_id, text, ...) without near copies: of each group the row of smallest doc_id stays.
 
     Groups are the components of all pairs of texts whose sets of shingles of `words` words have a Jaccard
-    similarity of `least` or more. Two such sets share one of their rarest shingles, 1 - `least` of each set and one
-    more in any order common to both, so every such pair meets in a shingle's bucket (but for equal 64-bit hashes of different
-    shingles). A pair that meets is ruled out only by bounds that no similar pair exceeds, and tried otherwise. First each
-    bucket's members are tried with one centre; then all pairs that are not in one group by then. The order is by
-    a count of shingles in cells, which decides the cost alone. Equal texts are one node. Null ids come after all
-    others. Of rows alike in id and text one stays. Columns stay as they are."""
+    similarity of `least` or more. First candidates are the links of fingerprints of distinct shingles within `radius`
+    bits, found by tiles (see `links`); those of one fingerprint meet its least node. An exact way finds the
+    rest: two similar sets share one of their rarest shingles, 1 - `least` of each set and one more in any order common
+    to both, so every such pair meets in a shingle's bucket (but for equal 64-bit hashes of different shingles). A
+    bucket's members are tried with one centre, and then all pairs of it that are not in one group by then; a pair is
+    ruled out only by bounds that no similar pair exceeds. The order is by a count of shingles in cells, which
+    decides the cost alone. Equal texts are one node. Null texts count as empty, and empty texts are equal. Null ids come
+    after all others. Of rows alike in id and text one stays. A text may have any length. An empty table stays
+    empty. All columns stay as they are, whatever their names."""
     node = F.xxhash64(text_or_empty("text"))
+    spark = df.sparkSession
     slim = df.select(node.alias("node"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    level = _commonness(slim.select("text"), words)
-    marks = ["s0", "s1", "s2", "s3"]
+    level = spark.sparkContext.broadcast(_commonness(slim.select("text"), words))  # CELLS bytes
 
     def run(batches):
         for batch in batches:
             sets = [_hashes(t, words) for t in batch.column("text").to_pylist()]
             odd = np.array([_parities(h) for h in sets], np.int64).reshape(-1, 4)
-            grams = pa.array([_prefix(h, level, least).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            grams = pa.array([_prefix(h, level.value, least).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            sizes, prints = (pa.array(v, pa.int64()) for v in ([len(h) for h in sets], [_majority(h) for h in sets]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(odd[:, k]) for k in range(4)), grams],
-                ["node", "doc_id", "size", *marks, "grams"],
+                [batch.column("node"), batch.column("doc_id"), sizes, prints, *(pa.array(odd[:, k]) for k in range(4)), grams],
+                ["node", "doc_id", "size", "fp", *MARKS, "grams"],
             )
 
-    prints = staged(slim.mapInArrow(run, "node long, doc_id long, size long, s0 long, s1 long, s2 long, s3 long, grams array<long>"), "prints")
-    nodes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("size", *marks))), "nodes")
-    met = prints.select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(F.collect_set("node").alias("members")).where(F.size("members") > 1)
-    shared = staged(met.select("gram", F.explode("members").alias("node")).join(nodes.drop("doc_id"), "node"), "shared")
+    schema = "node long, doc_id long, size long, fp long, s0 long, s1 long, s2 long, s3 long, grams array<long>"
+    prints = staged(slim.mapInArrow(run, schema), "prints")
+    nodes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("size", "fp", *MARKS))), "nodes")
+    grams = prints.select("node", F.explode("grams").alias("gram")).distinct()
+    met = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    shared = staged(grams.join(met, "gram").join(nodes.drop("doc_id", "fp"), "node"), "shared")
 
-    def buckets(rows):
-        member = F.struct("node", "root", "size", *marks)
-        return rows.groupBy("gram").agg(F.collect_list(member).alias("members"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram", "members")
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    same = nodes.select("node", "fp").join(heads, "fp").where("node != head").select(*_ordered("node", "head"))
+    across = links(staged(heads.select("fp"), "distinct"), radius).select("a", "b")
+    across = across.join(heads.toDF("a", "head"), "a").join(heads.toDF("b", "other"), "b").select(*_ordered("head", "other"))
 
     def verify(batches):
         for batch in batches:
@@ -320,7 +382,7 @@ def one_of_each(df: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def stand(tried):
-        tried = staged(tried, "candidates")
+        tried = staged(tried.distinct(), "candidates")
         wanted = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
         first = wanted.join(nodes.select("node", F.col("doc_id").alias("first_id")), "node")
         texts = slim.join(first, "node").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"])
@@ -328,14 +390,17 @@ def one_of_each(df: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
         pairs = tried.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
         return staged(pairs.mapInArrow(verify, "a long, b long"), "similar")
 
-    alone = shared.withColumn("root", F.col("node"))
-    spokes = stand(_meet(buckets(alone), least, True))
-    grouped = components(spokes).toDF("node", "root")
+    near = same.unionByName(across)
+    sized = nodes.select("node", F.struct("size", *MARKS).alias("of"))
+    near = near.join(sized.toDF("a", "x"), "a").join(sized.toDF("b", "y"), "b").where(_possible("x", "y", least)).select("a", "b")
+    tried = stand(near.unionByName(_spokes(shared, least)))
+    grouped = components(tried).toDF("node", "root")
     rest = shared.join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    linked = spokes.unionByName(stand(_meet(buckets(rest), least, False)))
+    linked = tried.unionByName(stand(_rest(rest, least, members)))
     rooted = nodes.select("node", "doc_id").join(components(linked), "node", "left")
     rooted = rooted.select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
-    kept = rooted.groupBy("root").agg(F.min(order).alias("kept")).select(F.col("kept.node").alias("__node"), F.col("kept.doc_id").alias("__id"))
-    whole = df.withColumn("__own", node).join(kept, (F.col("__own") == F.col("__node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    return whole.dropDuplicates(["__node", "__id"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    own, kept_node, kept_id = fresh(df, "own", "node", "id")
+    kept = rooted.groupBy("root").agg(F.min(order).alias("kept")).select(F.col("kept.node").alias(kept_node), F.col("kept.doc_id").alias(kept_id))
+    whole = df.withColumn(own, node).join(kept, (F.col(own) == F.col(kept_node)) & F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)))
+    return whole.dropDuplicates([kept_node, kept_id]).select(*[F.col(f"`{c}`") for c in df.columns])

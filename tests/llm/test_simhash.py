@@ -84,9 +84,9 @@ def test_one_of_each(frame):
     near = [*words[:97], "other", *words[98:]]
     far = [f"v{i}" for i in range(100)]
     rows = [(4, " ".join(words), "x"), (2, " ".join(near), "y"), (3, " ".join(far), "z"), (3, " ".join(far), "z"), (None, " ".join(words), "n"), (7, None, "e"), (6, "", "e"), (None, "alone", "n")]
-    got = simhash.one_of_each(frame(rows, "doc_id long, text string, __own2 string"))
+    got = simhash.one_of_each(frame(rows, "doc_id long, text string, own string"))
     assert sorted(got.collect(), key=str) == sorted([(2, " ".join(near), "y"), (3, " ".join(far), "z"), (6, "", "e"), (None, "alone", "n")], key=str)
-    assert got.columns == ["doc_id", "text", "__own2"]
+    assert got.columns == ["doc_id", "text", "own"]
     assert simhash.one_of_each(frame([])).count() == 0
 
 
@@ -123,8 +123,10 @@ def test_one_of_each_tries_every_pair(frame):
             own = own[cut:] + own[:cut]
             own[10 : 10 + i % 40] = own[10 : 10 + i % 40][::-1]
         texts.append(" ".join(own))
-    got = simhash.one_of_each(frame(list(enumerate(texts))))
-    assert sorted(r["doc_id"] for r in got.collect()) == smallest_of_groups(texts)
+    rows = frame(list(enumerate(texts)))
+    for radius, members in ((4, 4096), (0, 7)):  # buckets in one tile, and in many
+        got = simhash.one_of_each(rows, radius=radius, members=members)
+        assert sorted(r["doc_id"] for r in got.collect()) == smallest_of_groups(texts)
 
 
 def test_one_of_each_finds_pairs_far_by_fingerprint(frame):
@@ -142,5 +144,14 @@ def test_one_of_each_finds_pairs_far_by_fingerprint(frame):
     assert kept == smallest_of_groups(texts) == list(range(0, len(texts), 2))
 
 
+def test_very_long_texts_and_clashing_names(frame):
+    long = " ".join(f"w{i % 90_000}" for i in range(200_000))
+    rows = [(1, long, 5, 6), (2, long + " end", 5, 6), (3, "short", 5, 6)]
+    got = simhash.one_of_each(frame(rows, "doc_id long, text string, node long, id long"))
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 3] and got.columns == ["doc_id", "text", "node", "id"]
+    groups = simhash.groups(frame(rows, "doc_id long, text string, fp long, component_id long")).collect()
+    assert len({r["component_id"] for r in groups if r["doc_id"] < 3}) == 1
+
+
 def test_empty_table(frame):
     assert simhash.report(frame([])).count() == 0
