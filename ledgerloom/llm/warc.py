@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import staged, workspace
+from ledgerloom.llm.common import shuffle_partitions, staged, workspace
 
 INDEX = "page_id long, url string, archive string, offset long, length long, record_type string, refers_to long, payload_bytes long, payload_digest string"
 PAGE = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -75,7 +75,8 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     where all copies have none, one of them is the response. Of rows that repeat
     page_id and payload, one is the response and the rest revisit it. Other
     columns are left behind. The html is shuffled once, by page_id and digest;
-    which page comes first is found on digests alone.
+    which page comes first is found on digests alone. No pages give no archives and an
+    empty index; a payload may have any length.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
@@ -119,13 +120,15 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
 def read(index: DataFrame, folder: str, gap: int = 65_536, block: int = 8 << 20, most: int = 4 << 20) -> DataFrame:
     """The pages of the selected index rows, in the columns of PAGE.
 
-    Rows are dealt out by archive and block of offsets and sorted, and ranges at
-    most `gap` bytes apart are read at once, up to `most` bytes a read. Payloads are held against their digests;
+    Rows are dealt out by archive and block of offsets, to as many tasks as their bytes
+    need, and sorted; ranges at most `gap` bytes apart are read at once, up to `most` bytes a read. Payloads are held against their digests;
     a damaged record stops the task. A revisit's payload is empty here: its
     bytes are those of the record it refers to.
     """
     keyed = index.select("archive", "offset", "length").withColumn("block", F.floor(F.col("offset") / block))
-    keyed = keyed.repartition("archive", "block").sortWithinPartitions("archive", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0  # the index is small and written already
+    parts = max(shuffle_partitions(index.sparkSession), -(-size // block))
+    keyed = keyed.repartition(parts, "archive", "block").sortWithinPartitions("archive", "offset")
 
     def spans(frames):
         held: list[tuple[str, int, int]] = []

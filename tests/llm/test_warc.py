@@ -69,3 +69,12 @@ def test_damaged_records_are_errors():
     with pytest.raises(ValueError):
         warc.parse(made[:-3])
     assert zlib.crc32(made) == zlib.crc32(warc.record(1, "u", b"abc", "response", None, b32("abc")))
+
+
+def test_read_back_is_dealt_to_many_tasks(spark, frame):
+    rows = [(i, f"http://x/{i}", f"page {i} " * 50) for i in range(400)]
+    folder = warc.workspace(spark, "many")
+    index = warc.write(frame(rows, "page_id long, url string, html string"), folder)
+    read = warc.read(index, folder, block=1000)
+    assert read.rdd.getNumPartitions() >= index.agg({"length": "sum"}).first()[0] // 1000
+    assert sorted(r["page_id"] for r in read.collect()) == list(range(400))
