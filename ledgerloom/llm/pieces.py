@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 KEPT = 400_000
+KEPT_CHARS = 64 << 20  # characters of the segments kept, about
 SHORT = 48
 NONE = 1 << 40
 
@@ -53,6 +54,7 @@ class Codec:
         self.end_bytes = array("i", [self.end]).tobytes()
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.size = 0
         self.odd: dict[str, str] = {}
         if sp.decode(sp.encode(" a  b\t")) != " a  b\t" or sp.decode(sp.encode("a")) != "a":
             raise ValueError("the model's normalizer is not the identity with a leading mark")
@@ -91,18 +93,20 @@ class Codec:
         rank = self.rank
         parts: list[str] = list(segment)
         n = len(parts)
+        wide = n.bit_length()  # bits of a place
+        places, order = (1 << wide) - 1, wide + 20
         heap = []
         for i in range(n - 1):
             r = rank(parts[i] + parts[i + 1])
             if r is not None:  # the rank, then the place; the length tells a stale entry
-                heap.append((r << 44) | (i << 20) | 2)
+                heap.append((r << order) | (i << 20) | 2)
         if heap:
             before, after = list(range(-1, n - 1)), [*range(1, n), -1]
             heapq.heapify(heap)
             pop, push = heapq.heappop, heapq.heappush
             while heap:
                 top = pop(heap)
-                left, size = (top >> 20) & 0xFFFFFF, top & 0xFFFFF
+                left, size = (top >> 20) & places, top & 0xFFFFF
                 right = after[left]
                 own = parts[left]
                 if not own or right < 0 or len(own) + len(parts[right]) != size:
@@ -114,12 +118,12 @@ class Codec:
                     before[nxt] = left
                     r = rank(own + parts[nxt])
                     if r is not None:
-                        push(heap, (r << 44) | (left << 20) | (size + len(parts[nxt])))
+                        push(heap, (r << order) | (left << 20) | (size + len(parts[nxt])))
                 prv = before[left]
                 if prv >= 0:
                     r = rank(parts[prv] + own)
                     if r is not None:
-                        push(heap, (r << 44) | (prv << 20) | (size + len(parts[prv])))
+                        push(heap, (r << order) | (prv << 20) | (size + len(parts[prv])))
         return parts
 
     def keys(self, text: str) -> list[str]:
@@ -135,11 +139,12 @@ class Codec:
         """Encodes segments not met before, and holds them against the library.
 
         Segments live in two generations; the older one is dropped when the
-        younger is full, so those in use stay."""
-        if len(self.seen) > KEPT:
-            self.older, self.seen = self.seen, {}
+        younger is full, by number or by characters, so those in use stay."""
+        if len(self.seen) > KEPT or self.size > KEPT_CHARS:
+            self.older, self.seen, self.size = self.seen, {}, 0
             self.odd = {k: v for k, v in self.odd.items() if k in self.older}
         missing = keys.difference(self.seen)
+        self.size += sum(map(len, missing))
         older, new = self.older, []
         for k in missing:
             if k in older:
@@ -217,7 +222,7 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     so their names cannot clash. A null text counts as empty: its only id is the
     end id and it decodes to the empty text. Repeated rows stay repeated; an
     empty table gives an empty one. A batch's work is bounded by its texts; the
-    kept segments by KEPT.
+    kept segments by KEPT and KEPT_CHARS. A text or segment may have any length.
     """
     kind = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
