@@ -27,18 +27,20 @@ LABELLERS = ("capitals", "symbols", "repeats", "lines", "variety", "letters", "w
 
 
 class _Shapes:
-    """A token's hashed shape: letters by case, digits, other characters themselves, runs as one."""
+    """A whole token's hashed shape: letters by case, digits, other characters themselves, runs as one."""
 
     def __init__(self):
         self.seen: dict[str, int] = {}
+        self.size = 0
 
     def learnt(self, tokens: list[str]) -> dict[str, int]:
         """Shapes of all these tokens at least."""
-        if len(self.seen) > 300_000:
-            self.seen = {}
+        if len(self.seen) > 300_000 or self.size > 20_000_000:
+            self.seen, self.size = {}, 0
         for token in set(tokens).difference(self.seen):
-            shape = re.sub(r"(.)\1+", r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in token[:64]))
+            shape = re.sub(r"(.)\1+", r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in token))
             self.seen[token] = zlib.crc32(shape.encode()) % (SIZE - 64)
+            self.size += len(token)
         return self.seen
 
 
@@ -137,14 +139,13 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[d
     return dict(zip(keys, new.tolist(), strict=True)), table
 
 
-def train(rows: list[dict[int, float]], target: np.ndarray, rounds: int = 8, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Logistic weights by AdaGrad over sparse rows, in a fixed shuffled order."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 8, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Logistic weights by AdaGrad over sparse rows (places, values), in a fixed shuffled order."""
     w, g = np.zeros(SIZE + 1), np.full(SIZE + 1, 1e-4)
-    sparse = [(np.fromiter([*r, SIZE], np.int64), np.fromiter([*r.values(), 1.0], float)) for r in rows]
     order = np.random.default_rng(seed)
     for _ in range(rounds if rows else 0):
-        for i in order.permutation(len(sparse)):
-            at, x = sparse[i]
+        for i in order.permutation(len(rows)):
+            at, x = np.append(rows[i][0], SIZE).astype(np.int64), np.append(rows[i][1], 1.0).astype(float)
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[at] @ x)))))
             d = (p - target[i]) * x + 1e-5 * w[at]
             g[at] += d * d
@@ -165,7 +166,10 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Votes of all texts, their estimate, and the scorer. Labels are not used. Null texts count as empty."""
+    """Votes of all texts, their estimate, and the scorer. Labels are not used. Null texts count as empty.
+
+    Texts are read whole, however long. Repeated rows vote each; the scorer learns equal texts once. An empty
+    table gives a scorer that keeps everything. Columns other than text are not read."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def vote(frames):
@@ -187,11 +191,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         for frame in frames:
             got = [(tuple(votes(m := measures(t))), features(t, m, shapes)) for t in frame["text"]]
             if got:
-                yield pd.DataFrame({"votes": [list(v) for v, _ in got], "at": [list(f) for _, f in got], "x": [list(f.values()) for _, f in got]})
+                packed = [(np.array(list(f), np.int16).tobytes(), np.array(list(f.values()), np.float32).tobytes()) for _, f in got]
+                yield pd.DataFrame({"votes": [list(v) for v, _ in got], "at": [a for a, _ in packed], "x": [x for _, x in packed]})
 
-    rows = chosen.dropDuplicates(["text"]).mapInPandas(featured, "votes array<int>, at array<int>, x array<double>").collect()  # bounded by `sample`
-    rows.sort(key=lambda r: (r["votes"], r["at"], r["x"]))
-    weights, bias = train([dict(zip(r["at"], r["x"], strict=True)) for r in rows], np.array([posterior[tuple(r["votes"])] for r in rows]))
+    got = chosen.dropDuplicates(["text"]).mapInPandas(featured, "votes array<int>, at binary, x binary").toArrow()  # bounded by `sample`
+    rows = sorted(zip(map(tuple, got["votes"].to_pylist()), got["at"].to_pylist(), got["x"].to_pylist(), strict=True))
+    weights, bias = train([(np.frombuffer(a, np.int16), np.frombuffer(x, np.float32)) for _, a, x in rows], np.array([posterior[v] for v, _, _ in rows]))
     return Model(weights, bias, posterior, accuracy)
 
 
