@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import staged
 
 WINDOW, GRAM = 10, 5
-MOST_BYTES = 4 << 20
+MOST_BYTES = 1 << 20  # of benchmark texts for the broadcast index, which takes about fifty times that
 #: Bytes that part words: all of ASCII but letters and digits; A-Z become a-z.
 _TABLE = bytes(b if b >= 128 or chr(b).isdigit() or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(GRAM)], np.uint64)
@@ -124,7 +124,7 @@ def _schema(docs: DataFrame) -> str:
 def find(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """`docs` with n_words, n_hit, items (ids, sorted as strings) and spans (hit runs of words).
 
-    Null texts have no words; items without words or with a null id match nothing; items of one id
+    Texts of any length are read whole. Null texts have no words; items without words or with a null id match nothing; items of one id
     count once. Rows of docs stay as they are, repeated, tied or with a null id. Columns of docs that have
     one of the new names are replaced; others stay."""
     spark = docs.sparkSession

@@ -48,7 +48,7 @@ def test_both_ways_equal_brute_force(spark, frame, most):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text").collect()]
     passage = items[0][1]
-    docs += [(900, None), (901, ""), (902, passage), (902, passage), (None, passage.upper()), (903, "Été-42 " * 30), (904, "..x " + "été 42 " * 5)]
+    docs += [(900, None), (901, ""), (902, passage), (902, passage), (None, passage.upper()), (903, "Été-42 " * 30), (904, "..x " + "été 42 " * 5), (905, "filler words " * 40_000 + (passage or ""))]
     items += [(70, None), (71, ""), (72, "été 42 été"), (73, passage), (73, passage), (None, "the"), (74, "été 42 " * 8)]
     assert run(frame, docs, items, most) == brute(docs, items)
 
