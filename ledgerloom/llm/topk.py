@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import staged
 
-BLOCK = 32_768  # queries in a broadcast
+BLOCK = 32_768  # queries in a broadcast, at most
+BLOCK_BYTES = 64 << 20  # of a broadcast's queries, about: longer vectors make smaller blocks
 BUCKET = 2_048  # vectors of like length
 BUFFER = 65_536  # vectors that a task holds at once
 LONGEST = 4_096  # vectors behind the first thresholds
@@ -135,12 +136,14 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     id. Rows with a null id, a null vector, or a null or non-finite component take no part. Vectors
     may differ in length: missing components are zero. A repeated row is a
     candidate as often as it stands there, but never for a query of its own id;
-    a repeated query is asked once. Other columns are left behind."""
+    a repeated query is asked once. Other columns are left behind. An empty table, or one
+    without queries, gives no rows."""
     spark = df.sparkSession
     rows = integers(df, id_col, vec_col, scale)
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     asked = rows.where(F.col("vec_id") % every == 0)
-    n_blocks = -(-asked.count() // block)
+    count, width = asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n_blocks = -(-count // min(block, max(1, BLOCK_BYTES // (8 * max(1, width or 0)))))
     first = rows.select("vec_id", "v", norm.alias("norm")).orderBy(F.desc("norm"), "vec_id").limit(LONGEST).collect()
     long_ids, long_v = np.array([r[0] for r in first], np.int64), matrix([r[1] for r in first])
     found = []

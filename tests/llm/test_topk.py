@@ -49,3 +49,10 @@ def test_large_values_stay_exact(spark):
 def test_extra_columns(spark):
     df = spark.createDataFrame([(0, [1.0], "a"), (3, [2.0], "b")], "vec_id long, embedding array<double>, score string")
     assert topk.search(df).collect() == [(0, 1, 3, 64 * 128)]
+
+
+def test_long_vectors_make_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * 3000 * 2)  # two queries
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=3000).tolist()) for i in range(101)]
+    assert run(spark, rows) == brute(rows)
