@@ -12,7 +12,6 @@ messages are written once, bucketed, and read in place by later passes.
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections import Counter
 from itertools import chain
@@ -23,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import ctw
-from ledgerloom.llm.common import crc_remainder, workspace
-from ledgerloom.llm.packing import one_row, pack
+from ledgerloom.llm.common import crc_remainder, staged
+from ledgerloom.llm.packing import buckets_of, one_row, pack, save
 
 DEPTH = 5
 SPLIT = 3  # context bytes that name a shard
@@ -165,7 +164,8 @@ def scores(docs: DataFrame, held_out, piece: int = PIECE, shard: int = SHARD) ->
     (null counts as false). A null text counts as empty. Texts are lower-cased (A-Z) first. score is log10 of the model's
     probability of the text's bytes and their end; base_score that of its words and one
     end, by smoothed counts. Repeated rows are learned from as often as they stand there. With nothing
-    to learn from, every decision is even and the base has no words."""
+    to learn from, every decision is even and the base has no words. Texts of any length are read whole; other
+    columns, whatever their names, are left behind; an empty table gives no rows."""
     spark = docs.sparkSession
     # Ids travel as text: pandas would make a column of whole numbers with a null one of floats.
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
@@ -188,11 +188,9 @@ def scores(docs: DataFrame, held_out, piece: int = PIECE, shard: int = SHARD) ->
                 if sent:
                     yield pd.DataFrame([(s, row.piece, m) for s, m in sent], columns=["shard", "piece", "message"])
 
-    buckets = max(1, -(-shards // 2))
-    name = f"ledgerloom_messages_{uuid.uuid4().hex}"
+    buckets = buckets_of(spark, -(-shards // 2))
     sent = held.table.mapInPandas(send, "shard long, piece long, message binary").repartition(buckets, "shard")
-    sent.write.bucketBy(buckets, "shard").option("path", workspace(spark, "messages")).format("parquet").saveAsTable(name)
-    messages = spark.table(name)
+    messages, drop = save(sent, buckets, "shard", "messages")
 
     def weigh(frame):
         got = [Message.open(m) for m in frame["message"]]
@@ -215,11 +213,11 @@ def scores(docs: DataFrame, held_out, piece: int = PIECE, shard: int = SHARD) ->
     def answer(frame):
         got = [Message.open(m) for m in frame["message"]]
         keys, counts, at = _merged(got)
-        scored = ctw.score(keys, _subtree(keys, counts), top.value).astype(np.float32)[at]
+        scored = ctw.score(keys, _subtree(keys, counts), top.value)[at]
         words = _word_counts(got)
         out, a = [], 0
         for p, m in zip(frame["piece"], got, strict=True):
-            body = scored[a : a + len(m.keys)].tobytes() + np.array([words[w] for w in m.words], np.int64).tobytes() + b" ".join(m.words)
+            body = _planes(scored[a : a + len(m.keys)], 8) + np.array([words[w] for w in m.words], np.int64).tobytes() + b" ".join(m.words)
             out.append((frame["shard"].iloc[0], p, np.array([len(m.keys), len(m.words)], np.int64).tobytes() + zlib.compress(body, 1)))
             a += len(m.keys)
         return pd.DataFrame(out, columns=["shard", "piece", "answer"])
@@ -237,10 +235,10 @@ def scores(docs: DataFrame, held_out, piece: int = PIECE, shard: int = SHARD) ->
                     n_keys, n_words = np.frombuffer(a["answer"], np.int64, 2).tolist()
                     body = zlib.decompress(a["answer"][16:])
                     low, high = np.searchsorted(own.shards, [a["shard"], a["shard"] + 1])
-                    value[own.order[low:high]] = np.frombuffer(body, np.float32, n_keys)
+                    value[own.order[low:high]] = _from_planes(body, 0, n_keys, 8, np.float64)
                     if n_words:
-                        at = 4 * n_keys + 8 * n_words
-                        known.update(zip(body[at:].split(b" "), np.frombuffer(body, np.int64, n_words, 4 * n_keys).tolist(), strict=True))
+                        at = 8 * n_keys + 8 * n_words
+                        known.update(zip(body[at:].split(b" "), np.frombuffer(body, np.int64, n_words, 8 * n_keys).tolist(), strict=True))
                 logs = {w: math.log10(c + 0.5) for w, c in known.items()}
                 unknown = {w for w, c in known.items() if not c}
                 total = np.zeros(len(own.texts))
@@ -256,6 +254,9 @@ def scores(docs: DataFrame, held_out, piece: int = PIECE, shard: int = SHARD) ->
                 yield pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     done = held.with_answers(answers, "answer").mapInPandas(add_up, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    done = staged(done, "scores")  # figures alone; the texts' tables can go
+    held.drop()
+    drop()
     return done.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

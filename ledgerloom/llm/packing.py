@@ -7,19 +7,39 @@ its number where it lies, so the texts are shuffled once, however many passes fo
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import workspace
+from ledgerloom.llm.common import release, workspace
+
+BUCKETS = 20_000  # at most, whatever the number of pieces: a bucket then has several
+
+
+def buckets_of(spark: SparkSession, wanted: int) -> int:
+    return max(1, min(wanted, BUCKETS, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))))
+
+
+def save(df: DataFrame, buckets: int, key: str, label: str) -> tuple[DataFrame, Callable[[], None]]:
+    """`df`, dealt by `key` already, as a bucketed table, and what drops it with its files."""
+    spark = df.sparkSession
+    name, path = f"ledgerloom_{label}_{uuid.uuid4().hex}", workspace(spark, label)
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+
+    def drop():
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        release(spark, path)
+
+    return spark.table(name), drop
 
 
 class Pieces:
-    """The bucketed table and its number of buckets."""
+    """The bucketed table, its number of buckets, and what drops it once results are written."""
 
-    def __init__(self, table: DataFrame, buckets: int):
-        self.table, self.buckets = table, buckets
+    def __init__(self, table: DataFrame, buckets: int, drop: Callable[[], None]):
+        self.table, self.buckets, self.drop = table, buckets, drop
 
     def with_answers(self, answers: DataFrame, column: str) -> DataFrame:
         """The pieces with answers ARRAY<STRUCT<shard, column>>; null for a piece that got none. Only the answers move."""
@@ -29,16 +49,14 @@ class Pieces:
 
 def pack(rows: DataFrame, pieces: int, make, schema: str, chosen: DataFrame | None = None) -> Pieces:
     """One row for each piece, of make(frame), or make(frame, the chosen rows) where given; both have a column piece."""
-    spark = rows.sparkSession
-    buckets = max(1, pieces)
+    buckets = buckets_of(rows.sparkSession, pieces)
     dealt = rows.repartition(buckets, "piece").groupBy("piece")
     if chosen is None:
         made = dealt.applyInPandas(make, schema)
     else:
         made = dealt.cogroup(chosen.repartition(buckets, "piece").groupBy("piece")).applyInPandas(make, schema)
-    name = f"ledgerloom_pieces_{uuid.uuid4().hex}"
-    made.write.bucketBy(buckets, "piece").option("path", workspace(spark, "pieces")).format("parquet").saveAsTable(name)
-    return Pieces(spark.table(name), buckets)
+    table, drop = save(made, buckets, "piece", "pieces")
+    return Pieces(table, buckets, drop)
 
 
 def one_row(**columns) -> pd.DataFrame:

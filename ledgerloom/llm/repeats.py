@@ -102,7 +102,8 @@ def remove(docs: DataFrame, piece: int = PIECE, shard: int = SHARD, block: int =
 
     A null text counts as empty. A row with a null doc_id is compared with
     nothing, and keeps all. Rows of one doc_id are never smaller than each other. Other
-    columns are left behind. Ids are compared as integers."""
+    columns are left behind, whatever their names. Ids are compared as integers. A text may have any length that
+    a piece can hold (2^30 bytes with its neighbours; more stops the job). An empty table gives no rows."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumns({"key": F.md5("text"), "n_bytes": F.length("text").cast("long")})
@@ -119,6 +120,8 @@ def remove(docs: DataFrame, piece: int = PIECE, shard: int = SHARD, block: int =
         wanted = set(zip(firsts["doc_id"], firsts["key"], strict=True))
         own = {(d, k): bytes(t) for _, k, d, t in frame.itertuples(index=False, name=None) if (d, k) in wanted}  # a repeated row stands once
         keys = sorted(own)
+        if sum(map(len, own.values())) >= 1 << 30:
+            raise ValueError("a piece of a gigabyte or more: its positions would not fit")
         if not keys:
             return pd.DataFrame(columns=["piece", "ids", "keys", "ends", "text"])
         return one_row(piece=frame["piece"].iloc[0], ids=[d for d, _ in keys], keys=[k for _, k in keys], ends=np.cumsum([len(own[k]) for k in keys]).tolist(), text=b"".join(own[k] for k in keys))
@@ -237,6 +240,7 @@ def remove(docs: DataFrame, piece: int = PIECE, shard: int = SHARD, block: int =
     # Copies and first texts: what they keep follows from the digest alone. One row a text is written
     # first, so that the join of all rows with it is of two plain exchanges, and a hot digest can be split.
     told = staged(first.select("key", F.col("doc_id").alias("first_id")).join(done, "key", "left"), "told")
+    held.drop()
     whole = known.join(told, "key", "left")
     plain = F.col("doc_id").isNull() | (F.col("n_bytes") < SPAN)
     copy = F.col("doc_id") > F.col("first_id")

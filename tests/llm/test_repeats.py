@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import repeats, suffixes
+from ledgerloom.llm import packing, repeats, suffixes
 
 
 def brute(rows):
@@ -52,6 +52,13 @@ def test_equals_brute_force(spark, rows, sizes):
     assert run(spark, rows, **sizes) == brute(rows)
 
 
+def test_few_buckets_a_long_text_and_no_table_left(spark, rows, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKETS", 3)
+    more = rows[:40] + [(500, "".join(f"{i} " for i in range(30_000))), (501, "".join(f"{i} " for i in range(20_000, 30_000)))]
+    assert run(spark, more, piece=20_000, shard=20_000) == brute(more)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("ledgerloom")]
+
+
 def test_many_copies_and_a_common_passage(spark):
     passage = "a passage that many of the documents have, word for word, in the middle. "
     made = [(i, "copied text of some length, again and again, more than fifty bytes" if i % 3 == 0 else f"start {i * 7919} " + passage + f" end {i * 104729}") for i in range(600)]
