@@ -27,7 +27,7 @@ from ledgerloom.llm.packing import buckets_of, one_row, pack, save
 
 DEPTH = 5
 SPLIT = 3  # context bytes that name a shard
-PIECE = 6 << 20
+PIECE = 5 << 20
 SHARD = 8 << 20  # bytes of all texts for each shard
 
 
@@ -230,7 +230,7 @@ def scores(docs: DataFrame, held_out, piece: int = PIECE, shard: int = SHARD) ->
         for frame in frames:
             for row in frame.itertuples(index=False):
                 own = _Piece(row, shards)
-                value, known = np.zeros(len(own.keys)), {}
+                value, logs, unknown = np.zeros(len(own.keys)), {}, set()
                 for a in row.answers:
                     n_keys, n_words = np.frombuffer(a["answer"], np.int64, 2).tolist()
                     body = zlib.decompress(a["answer"][16:])
@@ -238,9 +238,10 @@ def scores(docs: DataFrame, held_out, piece: int = PIECE, shard: int = SHARD) ->
                     value[own.order[low:high]] = _from_planes(body, 0, n_keys, 8, np.float64)
                     if n_words:
                         at = 8 * n_keys + 8 * n_words
-                        known.update(zip(body[at:].split(b" "), np.frombuffer(body, np.int64, n_words, 8 * n_keys).tolist(), strict=True))
-                logs = {w: math.log10(c + 0.5) for w, c in known.items()}
-                unknown = {w for w, c in known.items() if not c}
+                        counts = np.frombuffer(body, np.int64, n_words, 8 * n_keys)
+                        words = body[at:].split(b" ")
+                        logs.update(zip(words, np.log10(counts + 0.5).tolist(), strict=True))
+                        unknown.update([words[i] for i in np.flatnonzero(counts == 0).tolist()])
                 total = np.zeros(len(own.texts))
                 for g, whose in own.runs(range(len(own.texts))):
                     order = np.argsort(g)  # sorted, the grams are found in passing
