@@ -41,12 +41,15 @@ def workspace(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/ledgerloom-{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, held: list[str] | None = None) -> DataFrame:
     """`df` written to the shared folder and reread: it cuts the lineage, and
-    a lost executor costs only a read. The schema is kept as it was."""
+    a lost executor costs only a read. The schema is kept as it was. The folder
+    is added to `held`, for the caller to release."""
     spark = df.sparkSession
     path = workspace(spark, label)
     df.write.parquet(path)
+    if held is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import fresh, shuffle_partitions, staged, text_or_empty
+from ledgerloom.llm.common import fresh, release, shuffle_partitions, staged, text_or_empty
 from ledgerloom.llm.components import components
 
 TILE = 16_384
@@ -120,7 +120,7 @@ def _class(fp):
     return (low * BASE + high).cast("int")
 
 
-def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, radius: int, tile: int = TILE, held: list[str] | None = None) -> DataFrame:
     """Links (a, b, distance) that span the groups of the distinct fingerprints `fp`.
 
     A class of n fingerprints has ceil(n / tile) tiles, dealt by hash, so a
@@ -136,7 +136,7 @@ def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
         return spark.createDataFrame([], "a long, b long, distance long")
     width = F.element_at(F.create_map(*[F.lit(x) for kv in tiles.items() for x in kv]), F.col("class"))
     dealt = classed.withColumn("tile", F.pmod(F.xxhash64(F.lit(7), "fp"), width).cast("int"))
-    packed = staged(dealt.groupBy("class", "tile").agg(F.collect_list("fp").alias("fps")), "tiles")
+    packed = staged(dealt.groupBy("class", "tile").agg(F.collect_list("fp").alias("fps")), "tiles", held)
     nears = []
     for c in tiles:
         for e in tiles:
@@ -200,7 +200,8 @@ def similar(a: str, b: str, words: int, least: float) -> bool:
     return both >= least * (len(x) + len(y) - both)
 
 
-CELLS, CHUNK = 1 << 22, 1 << 12
+CELLS, CHUNK = 1 << 20, 1 << 12
+ROWS = 512  # texts that a worker holds at once, or pairs of them
 MEMBERS = 4096  # nodes of a shingle's bucket that one tile has
 RADIUS = 4  # bits by which fingerprints of the first candidates differ
 SLACK = 1e-9  # a product of `least` may be rounded up; a bound never cuts by that
@@ -228,15 +229,21 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * total > len(h), bitorder="little").view(np.int64)[0])
 
 
+def _slices(batches):
+    """Batches of ROWS rows at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _commonness(texts: DataFrame, words: int) -> np.ndarray:
     """A byte for each of CELLS cells of shingle hashes: how often its shingles occur, in half powers of two."""
 
     def count(batches):
         held = np.zeros(CELLS, np.uint32)
-        for batch in batches:
+        for batch in _slices(batches):
             for text in batch.column(0).to_pylist():
-                cell, n = np.unique(_hashes(text, words) & np.uint64(CELLS - 1), return_counts=True)
-                held[cell] += n.astype(np.uint32)
+                np.add.at(held, _hashes(text, words) & np.uint64(CELLS - 1), 1)
         parts = held.reshape(-1, CHUNK)
         for at in np.array_split(np.flatnonzero(parts.any(axis=1)), 16):
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([parts[k].tobytes() for k in at], pa.binary())], ["chunk", "counts"])
@@ -290,14 +297,14 @@ def _spokes(shared: DataFrame, least: float) -> DataFrame:
     return met.where((F.col("m.node") != F.col("c.node")) & _possible("m", "c", least)).select(*_ordered("m.node", "c.node"))
 
 
-def _rest(shared: DataFrame, least: float, members: int = MEMBERS) -> DataFrame:
+def _rest(shared: DataFrame, least: float, members: int, held: list[str]) -> DataFrame:
     """Pairs (a, b) of nodes that are in one bucket and have different roots, where sizes and parities allow them.
 
     A bucket is dealt into tiles of bounded size, which meet pair by pair, so none is ever whole in one place."""
     spread = shared.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / members).cast("int").alias("tiles"))
     spread = spread.where("low < high").select("gram", "tiles")
     dealt = shared.join(spread, "gram").withColumn("tile", F.pmod(F.xxhash64(F.lit(11), "node"), F.col("tiles")).cast("int"))
-    packed = staged(dealt.groupBy("gram", "tiles", "tile").agg(F.collect_list(F.struct("node", "root", "size", *MARKS)).alias("m")), "buckets")
+    packed = staged(dealt.groupBy("gram", "tiles", "tile").agg(F.collect_list(F.struct("node", "root", "size", *MARKS)).alias("m")), "buckets", held)
     alone = packed.where("tiles = 1").select("m", F.lit(None).cast(packed.schema["m"].dataType).alias("n"))
     large = packed.where("tiles > 1")
     names = large.select("gram", "tile")
@@ -350,11 +357,12 @@ def one_of_each(df: DataFrame, words: int = 5, least: float = 0.8, radius: int =
     empty. All columns stay as they are, whatever their names."""
     node = F.xxhash64(text_or_empty("text"))
     spark = df.sparkSession
+    held: list[str] = []
     slim = df.select(node.alias("node"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
     level = spark.sparkContext.broadcast(_commonness(slim.select("text"), words))  # CELLS bytes
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [_hashes(t, words) for t in batch.column("text").to_pylist()]
             odd = np.array([_parities(h) for h in sets], np.int64).reshape(-1, 4)
             grams = pa.array([_prefix(h, level.value, least).view(np.int64) for h in sets], pa.list_(pa.int64()))
@@ -365,30 +373,30 @@ def one_of_each(df: DataFrame, words: int = 5, least: float = 0.8, radius: int =
             )
 
     schema = "node long, doc_id long, size long, fp long, s0 long, s1 long, s2 long, s3 long, grams array<long>"
-    prints = staged(slim.mapInArrow(run, schema), "prints")
-    nodes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("size", "fp", *MARKS))), "nodes")
-    grams = prints.select("node", F.explode("grams").alias("gram")).distinct()
+    alike = [F.first(c).alias(c) for c in ("size", "fp", *MARKS, "grams")]  # rows of one node have one text
+    whole = staged(slim.mapInArrow(run, schema).groupBy("node").agg(F.min("doc_id").alias("doc_id"), *alike), "nodes", held)
+    nodes, grams = whole.drop("grams"), whole.select("node", F.explode("grams").alias("gram"))
     met = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    shared = staged(grams.join(met, "gram").join(nodes.drop("doc_id", "fp"), "node"), "shared")
+    shared = staged(grams.join(met, "gram").join(nodes.drop("doc_id", "fp"), "node"), "shared", held)
 
     heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
     same = nodes.select("node", "fp").join(heads, "fp").where("node != head").select(*_ordered("node", "head"))
-    across = links(staged(heads.select("fp"), "distinct"), radius).select("a", "b")
+    across = links(staged(heads.select("fp"), "distinct", held), radius, held=held).select("a", "b")
     across = across.join(heads.toDF("a", "head"), "a").join(heads.toDF("b", "other"), "b").select(*_ordered("head", "other"))
 
     def verify(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             ok = [similar(x, y, words, least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def stand(tried):
-        tried = staged(tried.distinct(), "candidates")
+        tried = staged(tried.distinct(), "candidates", held)
         wanted = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
         first = wanted.join(nodes.select("node", F.col("doc_id").alias("first_id")), "node")
         texts = slim.join(first, "node").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"])
-        texts = staged(texts, "candidate-texts")
+        texts = staged(texts, "candidate-texts", held)
         pairs = tried.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        return staged(pairs.mapInArrow(verify, "a long, b long"), "similar")
+        return staged(pairs.mapInArrow(verify, "a long, b long"), "similar", held)
 
     near = same.unionByName(across)
     sized = nodes.select("node", F.struct("size", *MARKS).alias("of"))
@@ -396,11 +404,13 @@ def one_of_each(df: DataFrame, words: int = 5, least: float = 0.8, radius: int =
     tried = stand(near.unionByName(_spokes(shared, least)))
     grouped = components(tried).toDF("node", "root")
     rest = shared.join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    linked = tried.unionByName(stand(_rest(rest, least, members)))
+    linked = tried.unionByName(stand(_rest(rest, least, members, held)))
     rooted = nodes.select("node", "doc_id").join(components(linked), "node", "left")
     rooted = rooted.select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
     own, kept_node, kept_id = fresh(df, "own", "node", "id")
     kept = rooted.groupBy("root").agg(F.min(order).alias("kept")).select(F.col("kept.node").alias(kept_node), F.col("kept.doc_id").alias(kept_id))
+    kept = staged(kept, "kept")
+    release(spark, *held)
     whole = df.withColumn(own, node).join(kept, (F.col(own) == F.col(kept_node)) & F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)))
     return whole.dropDuplicates([kept_node, kept_id]).select(*[F.col(f"`{c}`") for c in df.columns])
