@@ -291,20 +291,23 @@ def _ordered(a: str, b: str):
 
 def _spokes(shared: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of one node of each bucket, which the gram picks, with the others; built-in functions only."""
-    member = F.struct("node", "size", *MARKS)
+    member = F.struct("node", "size", "pos", *MARKS)
     centre = shared.groupBy("gram").agg(F.min(F.struct(F.xxhash64("node", "gram").alias("turn"), member.alias("c"))).alias("least"))
     met = shared.select("gram", member.alias("m")).join(centre.select("gram", "least.c"), "gram")
-    return met.where((F.col("m.node") != F.col("c.node")) & _possible("m", "c", least)).select(*_ordered("m.node", "c.node"))
+    overlap = F.least(F.col("m.size") - F.col("m.pos"), F.col("c.size") - F.col("c.pos"))
+    enough = overlap >= least / (1 + least) * (F.col("m.size") + F.col("c.size")) - SLACK
+    return met.where((F.col("m.node") != F.col("c.node")) & enough & _possible("m", "c", least)).select(*_ordered("m.node", "c.node"))
 
 
 def _rest(shared: DataFrame, least: float, members: int, held: list[str]) -> DataFrame:
-    """Pairs (a, b) of nodes that are in one bucket and have different roots, where sizes and parities allow them.
+    """Pairs (a, b) of nodes that are in one bucket and have different roots, where sizes, places and parities allow them.
 
-    A bucket is dealt into tiles of bounded size, which meet pair by pair, so none is ever whole in one place."""
+    At the first shingle that two sets share in the common order, all that they share is this one and what comes after
+    it in both; a pair for which that is too little in this bucket is left to others. A bucket is dealt into tiles of bounded size, which meet pair by pair, so none is ever whole in one place."""
     spread = shared.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / members).cast("int").alias("tiles"))
     spread = spread.where("low < high").select("gram", "tiles")
     dealt = shared.join(spread, "gram").withColumn("tile", F.pmod(F.xxhash64(F.lit(11), "node"), F.col("tiles")).cast("int"))
-    packed = staged(dealt.groupBy("gram", "tiles", "tile").agg(F.collect_list(F.struct("node", "root", "size", *MARKS)).alias("m")), "buckets", held)
+    packed = staged(dealt.groupBy("gram", "tiles", "tile").agg(F.collect_list(F.struct("node", "root", "size", "pos", *MARKS)).alias("m")), "buckets", held)
     alone = packed.where("tiles = 1").select("m", F.lit(None).cast(packed.schema["m"].dataType).alias("n"))
     large = packed.where("tiles > 1")
     names = large.select("gram", "tile")
@@ -314,24 +317,25 @@ def _rest(shared: DataFrame, least: float, members: int, held: list[str]) -> Dat
     both = both.select("m", F.when(F.col("tile") < F.col("other"), F.col("n")).alias("n"))
 
     def opened(column):
-        node, root, size, *marks = (v.to_numpy(zero_copy_only=False) for v in column.flatten().flatten())
-        return node, root, size, np.stack(marks, axis=1).view(np.uint64), np.cumsum(np.concatenate(([0], column.value_lengths().fill_null(0).to_numpy()))).tolist()
+        node, root, size, pos, *marks = (v.to_numpy(zero_copy_only=False) for v in column.flatten().flatten())
+        return node, root, size, size - pos, np.stack(marks, axis=1).view(np.uint64), np.cumsum(np.concatenate(([0], column.value_lengths().fill_null(0).to_numpy()))).tolist()
 
     def run(batches):
         for batch in batches:
-            (node, root, size, marks, ends), other = opened(batch.column(0)), opened(batch.column(1))
+            (node, root, size, after, marks, ends), other = opened(batch.column(0)), opened(batch.column(1))
             out = []
             for at, whole in enumerate(batch.column(1).is_null().to_pylist()):
                 x = slice(ends[at], ends[at + 1])
-                right = [v[x] for v in (node, root, size, marks)] if whole else [v[other[4][at] : other[4][at + 1]] for v in other[:4]]
+                right = [v[x] for v in (node, root, size, after, marks)] if whole else [v[other[5][at] : other[5][at + 1]] for v in other[:5]]
                 order = np.argsort(right[2], kind="stable")  # by size: what is too small or large is never touched
-                name, top, count, mark = (v[order] for v in right)
+                name, top, count, behind, mark = (v[order] for v in right)
                 low = np.searchsorted(count, least * size[x] - SLACK)
                 high = np.searchsorted(count, size[x] / least + SLACK, side="right")
                 for i, a, b in zip(range(ends[at], ends[at + 1]), low.tolist(), high.tolist(), strict=True):
                     j = np.flatnonzero(top[a:b] != root[i]) + a
                     if whole:
                         j = j[name[j] > node[i]]
+                    j = j[np.minimum(after[i], behind[j]) >= least / (1 + least) * (size[i] + count[j]) - SLACK]
                     far = np.bitwise_count(marks[i] ^ mark[j]).sum(axis=1, dtype=np.int64)
                     j = j[far <= _apart(least) * (size[i] + count[j]) + SLACK]
                     if len(j):
@@ -375,9 +379,11 @@ def one_of_each(df: DataFrame, words: int = 5, least: float = 0.8, radius: int =
     schema = "node long, doc_id long, size long, fp long, s0 long, s1 long, s2 long, s3 long, grams array<long>"
     alike = [F.first(c).alias(c) for c in ("size", "fp", *MARKS, "grams")]  # rows of one node have one text
     whole = staged(slim.mapInArrow(run, schema).groupBy("node").agg(F.min("doc_id").alias("doc_id"), *alike), "nodes", held)
-    nodes, grams = whole.drop("grams"), whole.select("node", F.explode("grams").alias("gram"))
-    met = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    shared = staged(grams.join(met, "gram").join(nodes.drop("doc_id", "fp"), "node"), "shared", held)
+    nodes, grams = whole.drop("grams"), whole.select("node", "size", F.posexplode("grams").alias("pos", "gram"))
+    # The smaller set of a similar pair has their first common shingle within its first (1 - least) / (1 + least).
+    early = F.min(F.col("pos") - _apart(least) * F.col("size")) <= SLACK
+    met = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), early.alias("early")).where("n > 1 AND early").select("gram")
+    shared = staged(grams.drop("size").join(met, "gram").join(nodes.drop("doc_id", "fp"), "node"), "shared", held)
 
     heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
     same = nodes.select("node", "fp").join(heads, "fp").where("node != head").select(*_ordered("node", "head"))
