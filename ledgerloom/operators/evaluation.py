@@ -85,25 +85,6 @@ def paired_difference(a: DataFrame, b: DataFrame, fold: str, metric: str) -> Dat
     return d.agg(n.alias("n_folds"), F.avg("d").alias("mean_difference"), F.when(sd > 0, F.avg("d") / (sd / F.sqrt(n))).alias("t"), F.count_if(F.col("d") > 0).alias("wins"))
 
 
-def pair_bootstrap(df: DataFrame, pair: str, label: str, a: str, b: str, n_boot: int = 200, seed: int = 0) -> DataFrame:
-    """Difference of mean scores' class gap between two scores, resampled by pairs: mean, 2.5 and 97.5 percent points.
-
-    A pair's weight in a replicate is Poisson(1), drawn from a hash of seed, replicate and pair, so no draw depends on partitions; pairs are
-    summed up before they are multiplied by the replicates, whose number is bounded."""
-    gap = lambda c: F.sum(F.when(F.col(label) == 1, F.col(c)).otherwise(-F.col(c)))
-    sums = df.groupBy(pair).agg((gap(a) - gap(b)).alias("gap"))
-    reps = sums.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "rep", pair), F.lit(1 << 40)) / float(1 << 40)
-    edges, total, term = [], 0.0, 0.36787944117144233
-    for k in range(1, 10):
-        total += term
-        edges.append(total)
-        term /= k
-    weight = sum(((u >= e).cast("int") for e in edges), F.lit(0))
-    means = reps.withColumn("w", weight).groupBy("rep").agg(F.try_divide(F.sum(F.col("w") * F.col("gap")), F.sum("w")).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-
-
 def delong(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area and its variance by mid-ranks within and across the classes."""
     known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(label).cast("int").alias("y"), F.col(score).alias("s"))

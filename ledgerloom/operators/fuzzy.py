@@ -11,9 +11,9 @@ from ledgerloom.functions import names as N
 def shortlist(left: DataFrame, right: DataFrame, size: int = 60, most_common: float = 0.5) -> DataFrame:
     """left_id, right_id, weight: for each left name the `size` right names of most shared trigram weight.
 
-    left: left_id, name; right: right_id, name. A trigram weighs ln(1 + N / df). Trigrams that more than
-    `most_common` of the right names have weigh next to nothing and would meet every name;
-    they count for pairs that share another."""
+    left: left_id, name; right: right_id, name. A trigram weighs ln(1 + N / df). Names meet over trigrams that at most
+    `most_common` of the right names have, and common ones are added for those that met. Where the common ones of a left
+    name could lift another name into its list, that name meets over these too, so the list is that of all trigrams."""
     r = right.select("right_id", F.explode(N.trigrams(F.col("name"))).alias("gram"))
     n = right.agg(F.count(F.lit(1)).alias("n"))
     df = r.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))
@@ -24,7 +24,14 @@ def shortlist(left: DataFrame, right: DataFrame, size: int = 60, most_common: fl
     more = met.select("left_id", "right_id").join(extra, "left_id").join(r, ["right_id", "gram"]).groupBy("left_id", "right_id").agg(F.sum("idf").alias("plus"))
     weighed = met.join(more, ["left_id", "right_id"], "left").select("left_id", "right_id", F.round(F.col("rare") + F.coalesce("plus", F.lit(0.0)), 9).alias("weight"))
     w = Window.partitionBy("left_id").orderBy(F.desc("weight"), "right_id")
-    return weighed.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= size).drop("__n")
+    first = weighed.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= size).drop("__n")
+    floor = first.groupBy("left_id").agg(F.when(F.count(F.lit(1)) == size, F.min("weight")).otherwise(-1.0).alias("floor"))
+    could = extra.groupBy("left_id").agg(F.round(F.sum("idf"), 9).alias("most"))
+    open_ = could.join(floor, "left_id", "left").where(F.col("most") >= F.coalesce("floor", F.lit(-1.0))).select("left_id")
+    late = extra.join(open_, "left_id").join(r, "gram").groupBy("left_id", "right_id").agg(F.round(F.sum("idf"), 9).alias("weight"))
+    late = late.join(met.select("left_id", "right_id"), ["left_id", "right_id"], "left_anti")
+    whole = first.unionByName(late)
+    return whole.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= size).drop("__n")
 
 
 def match(left: DataFrame, right: DataFrame, k: int = 3, size: int = 60, accept: float = 98, review: float = 80) -> DataFrame:

@@ -77,11 +77,6 @@ def delong_variance(s, d):
     return V.delong(_scored(s, d), "quality", "score").select(F.round("auc", 8).alias("auc"), F.round("variance", 9).alias("variance"))
 
 
-@book.add(None)
-def pair_bootstrap(s, d):
-    return V.pair_bootstrap(_scored(s, d).where("score IS NOT NULL").withColumn("pair", F.floor(F.col("doc_id") / 2)), "pair", "quality", "score", "other")
-
-
 @book.add("WITH p AS (SELECT o_custkey - o_custkey % 2 AS pair, year(o_orderdate) AS fy, o_custkey % 2 AS side, avg(o_totalprice) AS v FROM orders GROUP BY 1, 2, 3), w AS (SELECT pair, fy, max(v) FILTER (WHERE side = 1) AS a, max(v) FILTER (WHERE side = 0) AS b FROM p GROUP BY 1, 2) SELECT fy, count(*) AS n_pairs, round(avg(a - b), 4) AS mean_difference, round(avg(CASE WHEN a > b THEN 1.0 ELSE 0.0 END), 6) AS share_positive FROM w WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1", fy="INTEGER")
 def pair_difference(s, d):
     o = table(s, d, "orders")

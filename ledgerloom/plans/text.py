@@ -80,7 +80,7 @@ _KNOWN = "CASE s " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in X.SYLLABLES.ite
 
 
 @book.add(f"""
-WITH e AS (SELECT doc_id, {sql_words()} AS w, len({sql_sentences()}) AS ns FROM documents WHERE lang = 'en'), u AS (SELECT doc_id, ns, unnest(w) AS word FROM e),
+WITH e AS (SELECT doc_id, {sql_words()} AS w, len({sql_sentences()}) AS ns FROM documents), u AS (SELECT doc_id, ns, unnest(w) AS word FROM e),
 v AS (SELECT DISTINCT word, CASE WHEN regexp_replace(word, '(es|ed)$', '') = '' THEN word ELSE regexp_replace(word, '(es|ed)$', '') END AS s FROM u), m AS (SELECT word, s, regexp_replace(s, '([tsc])io(n)', '\\1_\\2', 'g') AS m FROM v),
 c AS (SELECT word, {_KNOWN} >= 3 AS hard FROM m),
 t AS (SELECT doc_id, ns, count(*) AS nw, count(CASE WHEN hard THEN 1 END) AS nc FROM u JOIN c ON c.word = u.word GROUP BY 1, 2)
@@ -88,7 +88,7 @@ SELECT doc_id, nw AS n_words, ns AS n_sentences, round(nc / nw, 8) AS complex_wo
 """)
 def fog(s, d):
     """Syllables are counted once for each distinct word and joined back: words repeat, and the rule is dear."""
-    e = _docs(s, d).where("lang = 'en'").select("doc_id", F.size(X.sentences(X.as_text("text"))).cast("long").alias("ns"), "w")
+    e = _docs(s, d).select("doc_id", F.size(X.sentences(X.as_text("text"))).cast("long").alias("ns"), "w")
     u = e.select("doc_id", "ns", F.explode("w").alias("word"))
     tf = u.groupBy("doc_id", "ns", "word").agg(F.count(F.lit(1)).alias("tf"))
     hard = tf.select("word").distinct().select("word", X.is_complex(F.col("word")).alias("hard"))
@@ -144,11 +144,11 @@ def negation_flags(s, d):
 
 @book.add(f"""
 WITH c AS (SELECT conv_id, turn, role, {sql_words()} AS w FROM conversations), g AS (SELECT role, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram FROM c WHERE len(w) >= 3)
-SELECT role, gram, count(*) AS n FROM g GROUP BY 1, 2 HAVING count(*) >= 3
+SELECT role, gram, count(*) AS n FROM g GROUP BY 1, 2
 """)
 def trigram_counts(s, d):
     g = table(s, d, "conversations").select("role", F.explode(X.grams(X.words(X.as_text("text")), 3)).alias("gram"))
-    return g.groupBy("role", "gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    return g.groupBy("role", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 @book.add(_W + f""", t AS (SELECT doc_id, source, unnest(list_distinct({_STOP})) AS term FROM d)
@@ -161,7 +161,7 @@ def term_firm_frequency(s, d):
 
 
 _LOGODDS = f"""
-WITH d AS (SELECT quality, {sql_words()} AS w FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' AND quality IS NOT NULL), t AS (SELECT quality, unnest(w) AS term FROM d),
+WITH d AS (SELECT quality, {sql_words()} AS w FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), t AS (SELECT quality, unnest(w) AS term FROM d),
 n AS (SELECT term, count(CASE WHEN quality = 1 THEN 1 END) AS a, count(CASE WHEN quality = 0 THEN 1 END) AS b FROM t GROUP BY 1 HAVING count(*) >= 20), s AS (SELECT sum(a) AS na, sum(b) AS nb, sum(a + b) AS n0 FROM n),
 z AS (SELECT term, a, b, ln((a + a + b) / (na + n0 - a - (a + b))) - ln((b + a + b) / (nb + n0 - b - (a + b))) AS delta, 1.0 / (a + a + b) + 1.0 / (b + a + b) AS v FROM n, s)
 SELECT term, a AS n_good, b AS n_bad, round(delta, 6) AS log_odds, round(delta / sqrt(v), 5) AS z FROM z
@@ -171,7 +171,7 @@ SELECT term, a AS n_good, b AS n_bad, round(delta, 6) AS log_odds, round(delta /
 @book.add(_LOGODDS)
 def log_odds(s, d):
     """Log-odds of terms between two classes, the corpus as an informative Dirichlet prior."""
-    t = _docs(s, d).where("lang = 'en'").join(table(s, d, "labels").where("quality IS NOT NULL"), "doc_id").select("quality", F.explode("w").alias("term"))
+    t = _docs(s, d).join(table(s, d, "labels").where("quality IS NOT NULL"), "doc_id").select("quality", F.explode("w").alias("term"))
     n = t.groupBy("term").agg(F.count_if(F.col("quality") == 1).alias("a"), F.count_if(F.col("quality") == 0).alias("b"), F.count(F.lit(1)).alias("n")).where("n >= 20")
     total = n.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"), F.sum(F.col("a") + F.col("b")).alias("n0"))
     a, b, p = F.col("a"), F.col("b"), F.col("a") + F.col("b")
