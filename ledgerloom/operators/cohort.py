@@ -69,12 +69,13 @@ def other_listings(listed: DataFrame) -> DataFrame:
 def unit_suspects(figures: DataFrame, rivals: DataFrame, tolerance: float = 0.15) -> DataFrame:
     """firm_id, fy, side: which of two sources slipped by a power of ten where they differ by one.
 
-    figures and rivals: firm_id, fy, value. The side further from the firm's other years, by the median of log distances, is suspect."""
+    figures and rivals: firm_id, fy, value. The side further from the firm's other years, by the upper median of log distances, is suspect."""
     both = figures.select("firm_id", "fy", F.col("value").alias("a")).join(rivals.select("firm_id", "fy", F.col("value").alias("b")), ["firm_id", "fy"]).where("a > 0 AND b > 0")
     gap = F.log10(F.col("a") / F.col("b"))
     slip = both.where((F.abs(F.round(gap)) >= 1) & (F.abs(gap - F.round(gap)) <= tolerance))
     pool = figures.select("firm_id", F.col("fy").alias("y"), "value").unionByName(rivals.select("firm_id", F.col("fy").alias("y"), "value")).where("value > 0")
-    near = slip.join(pool, "firm_id").where("y <> fy").groupBy("firm_id", "fy").agg(*[F.percentile(F.abs(F.log10(F.col("value") / F.col(c))), 0.5).alias(f"d{c}") for c in "ab"])
+    near = slip.join(pool, "firm_id").where("y <> fy").groupBy("firm_id", "fy").agg(*[F.array_sort(F.collect_list(F.abs(F.log10(F.col("value") / F.col(c))))).alias(f"d{c}") for c in "ab"])  # two figures a year
+    near = near.select("firm_id", "fy", *[F.get(f"d{c}", F.floor(F.size(f"d{c}") / 2).cast("int")).alias(f"d{c}") for c in "ab"])
     return near.select("firm_id", "fy", F.when(F.col("da") > F.col("db"), "figures").when(F.col("db") > F.col("da"), "rivals").otherwise("unclear").alias("side"))
 
 

@@ -49,10 +49,13 @@ def sections_of_documents(s, d):
     return got.select("doc_id", "n_pages", F.transform("sections", lambda x: x["section"]).alias("sections"), D.opinion(F.try_element_at("texts", F.lit("auditor_report"))).alias("opinion"))
 
 
-@book.add(None)
+@book.add("SELECT page_id, 0 AS row, url AS host, 'see' AS label, 'https://example.org/x/' || page_id AS link FROM pages", row="INTEGER")
 def html_table_rows(s, d):
-    p = table(s, d, "pages").select("page_id", F.concat(F.lit("<table><tr><th>Host name</th><th>Link</th></tr><tr><td>"), "url", F.lit("</td><td><a href='/x/"), F.col("page_id"), F.lit("'>see</a></td></tr></table>")).alias("html"))
-    return readers.html_rows(p, {"host": "host", "link": "link"}, "https://example.org")
+    """The pages have no tables: one is put into each, after the page's own html."""
+    cell = F.concat(F.lit("<table><tr><th>Host name</th><th>Link</th></tr><tr><td>"), "url", F.lit("</td><td><a href='/x/"), F.col("page_id"), F.lit("'>see</a></td></tr></table>"))
+    p = table(s, d, "pages").select("page_id", F.concat(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", ""), cell).alias("html"))
+    got = readers.html_rows(p, {"host": "host", "link": "link"}, "https://example.org")
+    return got.select("page_id", "row", F.col("cells")["host"].alias("host"), F.col("cells")["link"].alias("label"), F.col("links")["link"].alias("link"))
 
 
 @book.add("SELECT o_orderkey, CASE WHEN month(o_orderdate) > 3 THEN year(o_orderdate) + 1 ELSE year(o_orderdate) END AS fy, CASE WHEN month(o_orderdate) > 3 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END AS reference_fy, round_even(date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') / 30.44, 1) AS months FROM orders", fy="INTEGER", reference_fy="INTEGER")

@@ -114,11 +114,38 @@ def html_rows(pages: DataFrame, wanted: dict[str, str], base: str = "", key: str
 
 
 # Tags of each field, the first that is there counts; balances are at the year's end, the others over the year.
-XBRL_FIELDS = {
-    "revenue": ["RevenueFromOperations"], "pbt": ["ProfitBeforeTax", "ProfitLossBeforeTax"], "net_profit": ["ProfitLossForPeriod", "ProfitLossForThePeriod"], "finance_costs": ["FinanceCosts"],
-    "total_assets": ["Assets", "TotalAssets"], "total_equity": ["Equity"], "current_assets": ["CurrentAssets"], "current_liabilities": ["CurrentLiabilities"],
-}
-XBRL_BALANCES = {"total_assets", "total_equity", "current_assets", "current_liabilities"}
+XBRL_BALANCES = {
+    "total_assets": ["Assets", "TotalAssets"],
+    "current_assets": ["CurrentAssets", "TotalCurrentAssets"],
+    "non_current_assets": ["NoncurrentAssets", "TotalNonCurrentAssets"],
+    "inventories": ["Inventories"],
+    "cash_and_equivalents": ["CashAndCashEquivalents", "CashAndBankBalances"],
+    "bank_balances_other": ["BankBalanceOtherThanCashAndCashEquivalents"],
+    "trade_receivables": ["TradeReceivablesCurrent", "TradeReceivables"],
+    "total_equity": ["Equity", "EquityAttributableToOwnersOfParent", "ShareholdersFunds"],
+    "equity_share_capital": ["EquityShareCapital", "PaidUpValueOfEquityShareCapital"],
+    "other_equity": ["OtherEquity", "ReservesAndSurplus"],
+    "borrowings_long_term": ["BorrowingsNoncurrent", "LongTermBorrowings"],
+    "borrowings_short_term": ["BorrowingsCurrent", "ShortTermBorrowings"],
+    "current_liabilities": ["CurrentLiabilities", "TotalCurrentLiabilities"],
+    "non_current_liabilities": ["NoncurrentLiabilities", "TotalNonCurrentLiabilities"],
+    "total_liabilities": ["Liabilities"],
+    "total_equity_and_liabilities": ["EquityAndLiabilities", "EquityAndLiabilitiesTotal"],
+}
+XBRL_FLOWS = {
+    "revenue": ["RevenueFromOperations", "NetSalesIncomeFromOperations", "IncomeFromOperations"],
+    "other_income": ["OtherIncome"],
+    "total_income": ["Income", "TotalIncome", "TotalIncomeFromOperations"],
+    "total_expenses": ["Expenses", "TotalExpenses"],
+    "finance_costs": ["FinanceCosts", "FinanceCost", "InterestExpense"],
+    "depreciation": ["DepreciationDepletionAndAmortisationExpense", "DepreciationAndAmortisationExpense"],
+    "exceptional_items": ["ExceptionalItemsBeforeTax", "ExceptionalItems"],
+    "pbt": ["ProfitBeforeTax", "ProfitLossBeforeTax"],
+    "tax_expense": ["TaxExpense"],
+    "net_profit": ["ProfitLossForPeriod", "ProfitLossForThePeriod", "NetProfitLossForThePeriod"],
+    "cfo": ["CashFlowsFromUsedInOperatingActivities"],
+}
+XBRL_FIELDS = XBRL_BALANCES | XBRL_FLOWS
 
 
 def xbrl_facts(xml: str, fy: int) -> list[tuple[str, float]]:
