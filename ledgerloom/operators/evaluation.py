@@ -36,11 +36,13 @@ def percentile_against(queries: DataFrame, reference: DataFrame, key: str, score
 
 
 def roc_auc(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
-    """By rank sums; null with one class only."""
-    r = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("__r", mid_rank(by, score))
-    n1, n = F.sum(F.col(label).cast("double")), F.count(F.lit(1))
-    area = (F.sum(F.col(label) * F.col("__r")) - n1 * (n1 + 1) / 2.0) / (n1 * (n - n1))
-    return r.groupBy(*by).agg(F.when((n1 > 0) & (n1 < n), area).alias("roc_auc"), n.alias("n"))
+    """By rank sums; null with one class only. Scores are counted by value first, so the window sees distinct scores."""
+    c = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.count(F.lit(1)).alias("rows"))
+    before = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = c.withColumn("__r", F.coalesce(F.sum("rows").over(before), F.lit(0)) + (F.col("rows") + 1) / 2.0)
+    n1, n = F.sum("pos"), F.sum("rows")
+    area = (F.sum(F.col("pos") * F.col("__r")) - n1 * (n1 + 1) / 2.0) / (n1 * (n - n1))
+    return ranked.groupBy(*by).agg(F.when((n1 > 0) & (n1 < n), area).alias("roc_auc"), n.alias("n"))
 
 
 def _curve(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
