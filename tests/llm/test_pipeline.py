@@ -44,6 +44,27 @@ def test_run_and_empty_stages(spark):
 
 def test_nulls_do_not_break_stages(spark):
     docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "w " * 50_000, "en", "s", 1), (3, None, "en", None, 1)], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    assert p.STAGES[0][1](spark, docs, SF).schema == docs.schema
     for _, stage in p.STAGES[1:4]:
         docs = stage(spark, docs, SF)
     assert p.STAGES[4][1](spark, docs, SF).count() == docs.count()
+
+
+def test_clashing_names_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    wide = docs.selectExpr("*", "1 AS quality", "2 AS n_hit", "'x' AS items", "3 AS node", "4 AS spans", "5 AS kind", "6 AS found")
+    for _, stage in p.STAGES[:4]:
+        got = stage(spark, wide, SF)
+        assert got.columns == wide.columns
+        for r in got.collect():
+            assert (r["quality"], r["n_hit"], r["items"], r["node"], r["spans"], r["kind"], r["found"]) == (1, 2, "x", 3, 4, 5, 6)
+
+
+def test_no_near_copy_is_left(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = p.STAGES[1][1](spark, docs, SF).collect()
+    sets = [simhash._shingles(r["text"] or "", 5) for r in kept]
+    for i, x in enumerate(sets):
+        for y in sets[:i]:
+            both = len(x & y)
+            assert both < 0.8 * (len(x) + len(y) - both)
