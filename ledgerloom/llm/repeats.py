@@ -12,8 +12,10 @@ Anchors that two texts share are found from their hashes alone. Segments around
 these go, each once a piece, to the shard that their anchor names; all places of
 a string come together there. A shard sorts its segments block by block with
 suffix arrays, finds from common prefixes which strings are equal, and merges
-blocks by binary search. What goes back to the pieces is, for each segment, a
-mask of the strings to remove.
+blocks by binary search. A piece sends each distinct segment once, with the
+smallest id it has there, so a passage in many of its texts weighs no more than one
+in two. What comes back is, for each distinct segment, a mask of the strings that
+an id below that one has too; places within the piece never leave it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import staged
-from ledgerloom.llm.packing import one_row, pack
+from ledgerloom.llm.packing import one_row, pack, save
 from ledgerloom.llm.suffixes import common_prefixes, search, suffix_array, words
 
 SPAN = 50
@@ -97,6 +99,29 @@ def _opened(row) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row.text, np.uint8), np.asarray(row.ends, np.int64)
 
 
+def _least(seg: np.ndarray, n: int, ids: np.ndarray) -> np.ndarray:
+    """The smallest id of each of n segments."""
+    out = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(out, seg, ids)
+    return out
+
+
+def _removed(packed: bytes, told: np.ndarray | None, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a piece's segments for one shard that lose strings, the mask of these, and how many strings each has.
+
+    told: for each distinct segment, the strings that an id below the piece's own smallest has. All of a segment goes from
+    texts of larger id than that."""
+    raw = zlib.decompress(packed)
+    (n,) = struct.unpack_from("<q", raw)
+    count = np.frombuffer(raw, np.uint8, n, 8).astype(np.uint32) - np.uint32(SPAN - 1)
+    seg, place = np.frombuffer(raw[8 + n :], np.uint32).reshape(2, -1)
+    place, count = place.astype(np.int64), count[seg]
+    own = ids[np.searchsorted(ends, place, side="right")]
+    mask = np.where(own > _least(seg, n, own)[seg], (np.uint32(1) << count) - np.uint32(1), np.uint32(0) if told is None else told[seg])
+    hit = mask > 0
+    return place[hit], mask[hit], count[hit]
+
+
 def remove(docs: DataFrame, piece: int = PIECE, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs [start, end) of bytes), kept_sha256, for each row of docs(doc_id, text).
 
@@ -164,7 +189,6 @@ def remove(docs: DataFrame, piece: int = PIECE, shard: int = SHARD, block: int =
                     continue
                 runs = Runs(*_opened(row))
                 where, names = _named(runs.hash, shards)
-                hot = np.zeros(len(names), bool)
                 told = {a["shard"]: np.frombuffer(a["names"], np.uint32) for a in row.answers}
                 out = []
                 for s, own in _by_shard(where):
@@ -174,56 +198,59 @@ def remove(docs: DataFrame, piece: int = PIECE, shard: int = SHARD, block: int =
                     own = np.sort(own[known_here[at] == names[own]])
                     number: dict[bytes, int] = {}
                     seg = [number.setdefault(row.text[a : b + SPAN], len(number)) for a, b in zip(runs.first[own].tolist(), runs.last[own].tolist(), strict=True)]
-                    ids = np.asarray(row.ids, np.int64)[runs.doc[own]]
-                    body = b"".join([np.fromiter(map(len, number), np.uint8, len(number)).tobytes(), *number])
-                    head = struct.pack("<qq", len(number), len(seg)) + np.array(seg, np.uint32).tobytes() + runs.first[own].astype(np.uint32).tobytes() + ids.tobytes()
-                    out.append((s, row.piece, zlib.compress(head + body, 1)))
+                    seg = np.array(seg, np.uint32)
+                    least = _least(seg, len(number), np.asarray(row.ids, np.int64)[runs.doc[own]])
+                    sizes = np.fromiter(map(len, number), np.uint8, len(number)).tobytes()
+                    head = struct.pack("<q", len(number))
+                    places = b"".join([head, sizes, seg.tobytes(), runs.first[own].astype(np.uint32).tobytes()])
+                    out.append((s, row.piece, zlib.compress(b"".join([head, least.tobytes(), sizes, *number]), 1), zlib.compress(places, 1)))
                 if out:
-                    yield pd.DataFrame(out, columns=["shard", "piece", "segments"])
+                    yield pd.DataFrame(out, columns=["shard", "piece", "segments", "places"])
 
-    sent = held.with_answers(found, "names").mapInPandas(segments, "shard long, piece long, segments binary")
+    # Written where the pieces lie: segments alone go to the shards, places wait for the masks.
+    sent, drop_sent = save(held.with_answers(found, "names").mapInPandas(segments, "shard long, piece long, segments binary, places binary"), held.buckets, "piece", "segments")
 
     def settle(key, frame):
         number: dict[bytes, int] = {}
-        occurrences = []
-        for p, packed_ in zip(frame["piece"], frame["segments"], strict=True):
+        own, least = [], []
+        for packed_ in frame["segments"]:
             raw = zlib.decompress(packed_)
-            n, m = struct.unpack_from("<qq", raw)
-            seg = np.frombuffer(raw, np.uint32, m, 16)
-            place = np.frombuffer(raw, np.uint32, m, 16 + 4 * m)
-            ids = np.frombuffer(raw, np.int64, m, 16 + 8 * m)
-            at = 16 + 16 * m
+            (n,) = struct.unpack_from("<q", raw)
+            at = 8 + 8 * n
             stops = np.cumsum(np.frombuffer(raw, np.uint8, n, at).astype(np.int64)) + at + n
-            own = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip([at + n, *stops[:-1].tolist()], stops.tolist(), strict=True)), np.int64, n)
-            occurrences.append((p, own[seg], place, ids))
-        lowest = np.full(len(number), np.iinfo(np.int64).max)
-        for _, seg, _, ids in occurrences:
-            np.minimum.at(lowest, seg, ids)
+            own.append(np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip([at + n, *stops[:-1].tolist()], stops.tolist(), strict=True)), np.int64, n))
+            least.append(np.frombuffer(raw, np.int64, n, 8).copy())
+        bounds = np.cumsum([len(x) for x in own])[:-1]
+        seg, ids = np.concatenate(own), np.concatenate(least)
+        own.clear()
+        least.clear()
         texts = list(number)
         number.clear()
-        minima, starts, counts = least_ids(texts, lowest, block)
-        out = []
-        for p, seg, place, ids in occurrences:
-            mask = np.zeros(len(seg), np.uint32)
-            for k in range(RUN):
-                has = counts[seg] > k
-                mask[has] |= (minima[starts[seg[has]] + k] < ids[has]).astype(np.uint32) << np.uint32(k)
-            hit = mask > 0
-            if hit.any():
-                out.append((key[0], p, np.stack((place[hit], mask[hit])).tobytes()))
+        minima, starts, counts = least_ids(texts, _least(seg, len(texts), ids), block)
+        mask = np.zeros(len(seg), np.uint32)
+        for k in range(RUN):
+            has = np.flatnonzero(counts[seg] > k)
+            mask[has] |= (minima[starts[seg[has]] + k] < ids[has]).astype(np.uint32) << np.uint32(k)
+        out = [(key[0], p, m.tobytes()) for p, m in zip(frame["piece"], np.split(mask, bounds), strict=True) if m.any()]
         return pd.DataFrame(out, columns=["shard", "piece", "masks"])
 
-    settled = sent.groupBy("shard").applyInPandas(settle, "shard long, piece long, masks binary")
+    settled = sent.select("shard", "piece", "segments").groupBy("shard").applyInPandas(settle, "shard long, piece long, masks binary")
 
     def finish(frames):
         for frame in frames:
             for row in frame.itertuples(index=False):
                 text, ends = _opened(row)
                 gone = np.zeros(len(text) + SPAN + RUN + 1, np.int64)
-                for a in row.answers if row.answers is not None else ():
-                    place, mask = np.frombuffer(a["masks"], np.uint32).reshape(2, -1)
+                told = {a["shard"]: np.frombuffer(a["masks"], np.uint32) for a in (row.answers if row.answers is not None else ())}
+                own = [_removed(a["places"], told.get(a["shard"]), np.asarray(row.ids, np.int64), ends) for a in (row.parts if row.parts is not None else ())]
+                if own:
+                    place, mask, count = map(np.concatenate, zip(*own, strict=True))
+                    whole = mask == (np.uint32(1) << count) - np.uint32(1)
+                    np.add.at(gone, place[whole], 1)
+                    np.add.at(gone, place[whole] + count[whole] + (SPAN - 1), -1)
+                    place, mask = place[~whole], mask[~whole]
                     for k in range(RUN):
-                        at = place[(mask >> np.uint32(k)) & 1 == 1].astype(np.int64) + k
+                        at = place[(mask >> np.uint32(k)) & 1 == 1] + k
                         np.add.at(gone, at, 1)
                         np.add.at(gone, at + SPAN, -1)
                 gone = np.cumsum(gone[: len(text)]) > 0
@@ -235,12 +262,14 @@ def remove(docs: DataFrame, piece: int = PIECE, shard: int = SHARD, block: int =
                 for at in range(0, len(out), 500):
                     yield pd.DataFrame(out[at : at + 500], columns=["key", "spans", "kept"])
 
-    done = held.with_answers(settled, "masks").mapInPandas(finish, "key string, spans array<array<long>>, kept binary")
+    parts = sent.groupBy("piece").agg(F.collect_list(F.struct("shard", "places")).alias("parts"))
+    done = held.with_answers(settled, "masks").join(parts.hint("shuffle_hash"), "piece", "left").mapInPandas(finish, "key string, spans array<array<long>>, kept binary")
     done = done.select("key", "spans", F.sha2("kept", 256).alias("kept_sha256"))
     # Copies and first texts: what they keep follows from the digest alone. One row a text is written
     # first, so that the join of all rows with it is of two plain exchanges, and a hot digest can be split.
     told = staged(first.select("key", F.col("doc_id").alias("first_id")).join(done, "key", "left"), "told")
     held.drop()
+    drop_sent()
     whole = known.join(told, "key", "left")
     plain = F.col("doc_id").isNull() | (F.col("n_bytes") < SPAN)
     copy = F.col("doc_id") > F.col("first_id")
