@@ -83,11 +83,10 @@ def phrase_hits(text: Column, phrases) -> Column:
 
 def syllables(word: Column) -> Column:
     """By vowel groups: a silent last e is none, split pairs are two; at least one."""
-    plain = F.size(F.regexp_extract_all(word, F.lit("[aeiouy]+"), F.lit(0)))
-    silent = word.rlike("(^|[^aeiouy])e$") & (plain > 1) & ~word.rlike("(le|ee|ye)$")
-    # A pair in -tion, -sion or -cion stays one; the others are told by marking those endings first.
-    marked = F.regexp_replace(word, "(?<=[tsc])io(?=n)", "_")
-    pairs = sum((F.size(F.regexp_extract_all(marked, F.lit(p), F.lit(0))) for p in ("ia", "io", "eo", "ua", "uo")), F.lit(0))
+    plain = F.regexp_count(word, F.lit("[aeiouy]+"))
+    silent = word.rlike("(^|[^aeiouy])e$") & ~word.rlike("(le|ee|ye)$") & (plain > 1)
+    # A pair in -tion, -sion or -cion stays one. No pair ends with a letter that another starts with, so one count has them all.
+    pairs = F.regexp_count(word, F.lit("ia|(?<![tsc])io|io(?!n)|eo|ua|uo"))
     n = F.greatest(F.lit(1), plain - silent.cast("int") + pairs)
     known = F.create_map(*[F.lit(x) for kv in SYLLABLES.items() for x in kv])
     return F.coalesce(F.try_element_at(known, word), n)
@@ -95,8 +94,8 @@ def syllables(word: Column) -> Column:
 
 def is_complex(word: Column) -> Column:
     """Three syllables or more, an ending -es or -ed aside."""
-    stem = F.regexp_replace(word, "(es|ed)$", "")
-    return syllables(F.when(stem == "", word).otherwise(stem)) >= 3
+    stem = F.when(word.isin("es", "ed"), word).otherwise(F.regexp_replace(word, "(es|ed)$", ""))
+    return F.get(F.transform(F.array(stem), lambda s: syllables(s) >= 3), F.lit(0))  # the stem is worked out once
 
 
 def fog(n_words: Column, n_sentences: Column, n_complex: Column) -> Column:
