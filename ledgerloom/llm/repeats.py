@@ -13,8 +13,8 @@ these go, each once a piece, to the shard that their anchor names; all places of
 a string come together there. A shard sorts its segments block by block with
 suffix arrays, finds from common prefixes which strings are equal, and merges
 blocks by binary search. A piece sends each distinct segment once, with the
-smallest id it has there, so a passage in many of its texts weighs no more than one
-in two. What comes back is, for each distinct segment, a mask of the strings that
+smallest id it has there: what lies well within a passage of many texts is sent once,
+while segments at the passage's edges differ with each text's own bytes. What comes back is, for each distinct segment, a mask of the strings that
 an id below that one has too; places within the piece never leave it.
 """
 
