@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import documents as D
 from ledgerloom.operators import tables as T
 
 
@@ -49,3 +50,19 @@ def test_exact_sums_do_not_depend_on_the_order(spark):
     data = [("a", 0.1), ("a", 0.2), ("a", 0.3), ("b", 0.3), ("b", 0.2), ("b", 0.1), ("c", 1e300), ("c", 1.0), ("d", 1e-20), ("e", None), ("f", float("nan"))]
     got = {r["k"]: r["s"] for r in spark.createDataFrame(data, "k string, v double").coalesce(1).groupBy("k").agg(T.exact_sum("v").alias("s")).collect()}
     assert got["a"] == got["b"] == 0.6 and got["c"] == 1e300 and got["d"] == 1e-20 and got["e"] is None and got["f"] != got["f"]
+
+
+def test_arbitration_reads_groups_in_batches(spark):
+    """Groups that batches cut are settled whole, and no group costs a frame of its own."""
+    data = []
+    for i in range(1000):
+        data += [(i, 2000, "total", 50.0 if i % 4 == 0 else 100.0, 100.0 if i % 4 == 0 else 50.0), (i, 2000, "current", 30.0, None), (i, 2000, "noncurrent", 70.0, float("nan"))]
+    df = spark.createDataFrame(data, "firm_id int, fy int, field string, value double, other_value double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = D.arbitrate(df, [("total", "current", "noncurrent")])
+        assert "FlatMapGroups" not in plan(got)
+        assert rows(got) == sorted([(i, 2000, f, v, f == "total" and i % 4 == 0) for i in range(1000) for f, v in (("total", 100.0), ("current", 30.0), ("noncurrent", 70.0))], key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
