@@ -27,8 +27,8 @@ def assign_labels(frame: DataFrame, documents: DataFrame, petitions: DataFrame,
     rule that holds excludes. A healthy row goes with its distressed partner's year, never the other way round. Horizons rank the
     distressed firm's years that are left; years beyond `keep` are excluded."""
     docs = documents.dropDuplicates(["doc_id"])
-    df = frame.join(docs, "doc_id", "left").join(petitions.dropDuplicates(["pair_id"]), "pair_id", "left")
-    df = df.join(review.dropDuplicates(["doc_id"]), "doc_id", "left") if review is not None else df.withColumn("decision", F.lit(None).cast("string"))
+    df = frame.join(T.shuffled(docs), "doc_id", "left").join(T.shuffled(petitions.dropDuplicates(["pair_id"])), "pair_id", "left")
+    df = df.join(T.shuffled(review.dropDuplicates(["doc_id"])), "doc_id", "left") if review is not None else df.withColumn("decision", F.lit(None).cast("string"))
     have = F.col("local_path").isNotNull()
     known = F.col("pub_date").isNotNull()
     df = df.withColumns({"pub_date_source": F.when(known, "filing").otherwise("assumed"), "pub_date": F.coalesce("pub_date", F.date_add("fy_end_date", lag_days)), "has_document": have})

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import cohort as K
 from ledgerloom.operators import documents as D
 from ledgerloom.operators import tables as T
 
@@ -66,3 +67,15 @@ def test_arbitration_reads_groups_in_batches(spark):
         assert rows(got) == sorted([(i, 2000, f, v, f == "total" and i % 4 == 0) for i in range(1000) for f, v in (("total", 100.0), ("current", 30.0), ("noncurrent", 70.0))], key=str)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_grown_sides_are_not_sent_whole(spark):
+    """Keys made of few stored bytes: every join side that grows with them is shuffled."""
+    days = spark.range(50).select(F.col("id").cast("string").alias("pair_id"), F.explode(F.array(*map(F.lit, ("distressed", "healthy")))).alias("role"))
+    cohort = days.select("pair_id", F.concat("pair_id", "role").alias("firm_id"), "role", (F.col("role") == "distressed").cast("int").alias("label"), F.lit("2019-08-14").cast("date").alias("reference_date"))
+    frame = K.sample_frame(cohort)
+    docs = frame.select("doc_id", F.lit("x").alias("local_path"), F.lit(None).cast("date").alias("pub_date"), F.lit(False).alias("wrong_year"))
+    labels = K.assign_labels(frame, docs, cohort.select("pair_id", F.lit("2019-06-01").cast("date").alias("petition_date")))
+    for df in (labels,):
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in x]
+        assert not joins
