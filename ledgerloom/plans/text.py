@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import names as N
 from ledgerloom.functions import text as X
+from ledgerloom.operators import shingles as S
 from ledgerloom.plans.base import Book, table
 
 book = Book()
@@ -186,10 +187,8 @@ SELECT doc_id, count(*) AS n_grams, round(avg(CASE WHEN n >= 10 THEN 1.0 ELSE 0.
 """)
 def boilerplate_share(s, d):
     """Share of a document's word 5-grams that ten sources or more use."""
-    g = _docs(s, d).select("doc_id", "source", F.explode(X.grams(F.col("w"), 5)).alias("gram"))
-    per = g.groupBy("doc_id", "source", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    wide = per.select("gram", "source").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 10").select("gram", F.lit(1.0).alias("hit"))
-    return per.join(wide, "gram", "left").groupBy("doc_id").agg(F.sum("tf").alias("n_grams"), F.round(F.sum(F.coalesce("hit", F.lit(0.0)) * F.col("tf")) / F.sum("tf"), 6).alias("boilerplate_share"))
+    g = S.wide_shares(table(s, d, "documents"), "doc_id", "source", X.words(X.as_text("text")), 5, 10)
+    return g.select("doc_id", "n_grams", F.round("share", 6).alias("boilerplate_share"))
 
 
 @book.add(f"""

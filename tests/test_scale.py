@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import cohort as K
 from ledgerloom.operators import documents as D
 from ledgerloom.operators import fuzzy as Z
+from ledgerloom.operators import shingles as S
 from ledgerloom.operators import tables as T
 
 
@@ -93,3 +94,11 @@ def test_equal_names_share_a_list(spark):
     assert got == rows(left.join(lists, "name").select("left_id", "right_id", "weight")) and len({r[0] for r in got}) == 30
     best = [(r["left_id"], r["right_id"], r["rank"]) for r in Z.match(left, right, k=1).orderBy("left_id").collect()]
     assert best == [(i, i % 3 + 1, 1) for i in range(30)]
+
+
+def test_wide_shares_send_a_run_once_for_a_document(spark):
+    docs = [(1, "a", "x y z"), (2, "b", "x y z x y z"), (3, "c", "x y q"), (4, None, "x y"), (5, "c", "x"), (6, "d", "p x y")]
+    df = spark.createDataFrame(docs, "k int, src string, t string")
+    got = S.wide_shares(df, "k", "src", F.split("t", " "), 2, 4)
+    assert plan(got).count("RepartitionByExpression") == 1 and "Join" not in plan(got) and "gram#" not in plan(got)
+    assert sorted((r["k"], r["n_grams"], round(r["share"], 6)) for r in got.collect()) == [(1, 2, 0.5), (2, 5, 0.4), (3, 2, 0.5), (4, 1, 1.0), (6, 2, 0.5)]
