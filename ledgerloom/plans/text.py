@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import names as N
@@ -111,19 +110,11 @@ FROM (SELECT *, coalesce(len(c) > 0 AND len(pc) > 0, false) AS ok FROM p) p LEFT
 """)
 def drift_previous(s, d):
     """Against the document before it of the same source; all null without one."""
-    k = _docs(s, d).select("doc_id", "source", X.cleaned(F.col("w")).alias("c"))
-    order = Window.partitionBy("source").orderBy("doc_id")
-    p = k.select("doc_id", "c", F.lag("doc_id").over(order).alias("prev"))
-    p = p.join(k.select(F.col("doc_id").alias("prev"), F.col("c").alias("pc")), "prev", "left")
-    tf = k.select("doc_id", F.explode("c").alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    norm = tf.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    links = p.select("doc_id", "prev").where("prev IS NOT NULL")
-    dot = tf.join(links, "doc_id").join(tf.select(F.col("doc_id").alias("prev"), "word", F.col("n").alias("pn")), ["prev", "word"]).groupBy("doc_id").agg(F.sum(F.col("n") * F.col("pn")).alias("dot"))
-    f = p.join(norm, "doc_id", "left").join(norm.select(F.col("doc_id").alias("prev"), F.col("norm").alias("pnorm")), "prev", "left").join(dot, "doc_id", "left")
-    ok = F.coalesce((F.size("c") > 0) & (F.size("pc") > 0), F.lit(False))
-    both, mine = F.size(F.array_intersect("c", "pc")), F.size(F.array_distinct("c"))
+    f = S.word_overlap(table(s, d, "documents"), "doc_id", "source", X.cleaned(X.words(X.as_text("text"))))
+    ok = F.coalesce((F.col("n") > 0) & (F.col("previous_n") > 0), F.lit(False))
     told = lambda e, name: F.when(ok, F.round(e, 8)).alias(name)
-    return f.select("doc_id", ok.alias("has_previous"), told(both / F.size(F.array_union("c", "pc")), "drift_jaccard"), told(F.coalesce("dot", F.lit(0)) / (F.col("norm") * F.col("pnorm")), "drift_cosine"), told((mine - both) / mine, "drift_new_word_share"), told(F.size("c") / F.size("pc"), "drift_length_ratio"))
+    c = F.col
+    return f.select("doc_id", ok.alias("has_previous"), told(c("both") / c("either"), "drift_jaccard"), told(c("dot") / (F.sqrt("squares") * F.sqrt("previous_squares")), "drift_cosine"), told((c("mine") - c("both")) / c("mine"), "drift_new_word_share"), told(c("n") / c("previous_n"), "drift_length_ratio"))
 
 
 _CUE = "(^|[^a-z])(not|no|never|without|in)([^a-z]|$)"

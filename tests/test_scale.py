@@ -102,3 +102,10 @@ def test_wide_shares_send_a_run_once_for_a_document(spark):
     got = S.wide_shares(df, "k", "src", F.split("t", " "), 2, 4)
     assert plan(got).count("RepartitionByExpression") == 1 and "Join" not in plan(got) and "gram#" not in plan(got)
     assert sorted((r["k"], r["n_grams"], round(r["share"], 6)) for r in got.collect()) == [(1, 2, 0.5), (2, 5, 0.4), (3, 2, 0.5), (4, 1, 1.0), (6, 2, 0.5)]
+
+
+def test_word_overlap_keeps_words_packed(spark):
+    docs = [(1, "a", "x y x"), (2, "a", "x z"), (3, "b", "q"), (4, "a", ""), (5, "a", "z z")]
+    got = S.word_overlap(spark.createDataFrame(docs, "k int, src string, t string"), "k", "src", F.filter(F.split("t", " "), lambda w: w != ""))
+    assert "Generate" not in plan(got)
+    assert {r["k"]: tuple(r)[1:] for r in got.collect()} == {1: (None,) * 8, 2: (2, 3, 1, 2, 3, 2, 2, 5), 3: (None,) * 8, 4: (0, 2, 0, 0, 2, 0, 0, 2), 5: (2, 0, 0, 1, 1, 0, 4, 0)}
