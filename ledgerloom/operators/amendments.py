@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.quantiles import quantiles
 from ledgerloom.operators.tables import first_per_key
 
 
@@ -55,9 +56,9 @@ def subsets(rows: DataFrame, strict: str, horizon: str, z: str, rank: str, safe:
     """Rows once for each named subset that they belong to, in a column `subset`.
 
     all; strict; each horizon by its name; z above its median; z in the safe zone; the lower half by the ratio model's rank."""
-    middle = rows.agg(F.median(z).alias("__mid"))
-    named = [(F.lit(True), F.lit("all")), (F.col(strict), F.lit("strict")), (F.col(horizon).isNotNull(), F.col(horizon).cast("string")), (F.col(z) > F.col("__mid"), F.lit("z_above_median")), (F.col(z) > safe, F.lit("z_safe_zone")), (F.col(rank) <= 0.5, F.lit("ratio_model_low_risk"))]
-    return rows.join(F.broadcast(middle)).withColumn("subset", F.explode(F.array_compact(F.array(*[F.when(c, n) for c, n in named])))).drop("__mid")
+    middle = (quantiles(rows, F.lit("all"), z, (0.5,)).get("all") or [None])[0]
+    named = [(F.lit(True), F.lit("all")), (F.col(strict), F.lit("strict")), (F.col(horizon).isNotNull(), F.col(horizon).cast("string")), (F.col(z) > F.lit(middle).cast("double"), F.lit("z_above_median")), (F.col(z) > safe, F.lit("z_safe_zone")), (F.col(rank) <= 0.5, F.lit("ratio_model_low_risk"))]
+    return rows.withColumn("subset", F.explode(F.array_compact(F.array(*[F.when(c, n) for c, n in named]))))
 
 
 def without_impossible(wide: DataFrame, total: str, components: Sequence[str], balance: str, flags: str, tolerance: float = 0.05) -> DataFrame:

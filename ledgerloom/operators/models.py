@@ -10,11 +10,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.quantiles import quantiles
+
 
 def prepared(train: DataFrame, other: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both frames winsorised, filled with medians, marked where missing and standardised, by the training frame's figures, one pass."""
-    row = train.agg(*[F.percentile(f, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias(f) for f in features]).first()
-    bounds = {f: row[f] or [0.0, 0.0, 0.0] for f in features}
+    """Both frames winsorised, filled with medians, marked where missing and standardised, by the training frame's figures."""
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("x")) for f in features])).alias("s")).select("s.*")
+    row = quantiles(long, "f", "x", (0.01, 0.5, 0.99))
+    bounds = {f: row.get(f) or [0.0, 0.0, 0.0] for f in features}
 
     def fill(df: DataFrame) -> DataFrame:
         for f, (low, mid, high) in bounds.items():
@@ -50,8 +53,8 @@ def boosted_oof(df: DataFrame, key: str, fold: str, label: str, features: list[s
 def median_filled(df: DataFrame, fold: str, score: str, out: str) -> DataFrame:
     """A missing score takes the median of the other folds."""
     folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
-    mids = df.agg(*[F.percentile(F.when(F.col(fold) != f, F.col(score)), 0.5).alias(f"f{i}") for i, f in enumerate(folds)]).first()
-    fill = F.coalesce(*[F.when(F.col(fold) == f, F.lit(mids[i])) for i, f in enumerate(folds)])
+    mids = quantiles(df, fold, score, (0.5,), {f: [g for g in folds if g is not None and g != f] for f in folds if f is not None})
+    fill = F.coalesce(*[F.when(F.col(fold) == f, F.lit((mids.get(f) or [None])[0])) for f in folds])
     return df.withColumn(out, F.coalesce(F.col(score), fill))
 
 

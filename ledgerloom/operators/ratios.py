@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.quantiles import quantiles
+
 # Coefficients and zones of the emerging-market Z score.
 COEFFICIENTS = {"x1": 6.56, "x2": 3.26, "x3": 6.72, "x4": 1.05}
 INTERCEPT, SAFE, DISTRESS = 3.25, 2.60, 1.10
@@ -105,10 +107,11 @@ def confidence(*factors: Column) -> Column:
 
 
 def winsorised(df: DataFrame, fold: str, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Each fold clipped at quantiles of the others. Folds are few, so the bounds are found by one pass for each and broadcast."""
+    """Each fold clipped at quantiles of the others. Folds are few, so the bounds are found from counts and broadcast."""
     folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
-    row = df.agg(*[F.percentile(F.when(F.col(fold) != f, F.col(column)), F.array(F.lit(low), F.lit(high))).alias(f"f{i}") for i, f in enumerate(folds)]).first()
-    bounds = df.sparkSession.createDataFrame([(f, *(row[i] or (None, None))) for i, f in enumerate(folds)], f"`{fold}` {df.schema[fold].dataType.simpleString()}, __low double, __high double") if folds else None
+    others = {f: [g for g in folds if g is not None and g != f] for f in folds if f is not None}
+    row = quantiles(df, fold, column, (low, high), others)
+    bounds = df.sparkSession.createDataFrame([(f, *(row.get(f) or (None, None))) for f in folds], f"`{fold}` {df.schema[fold].dataType.simpleString()}, __low double, __high double") if folds else None
     if bounds is None:
         return df.withColumn(column + "_w", F.col(column))
     return df.join(F.broadcast(bounds), fold).withColumn(column + "_w", F.greatest("__low", F.least("__high", column))).drop("__low", "__high")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import cohort as K
 from ledgerloom.operators import documents as D
 from ledgerloom.operators import fuzzy as Z
+from ledgerloom.operators import ratios as R
 from ledgerloom.operators import shingles as S
 from ledgerloom.operators import tables as T
+from ledgerloom.operators.quantiles import quantiles
 
 
 def rows(df, *cols):
@@ -109,3 +111,19 @@ def test_word_overlap_keeps_words_packed(spark):
     got = S.word_overlap(spark.createDataFrame(docs, "k int, src string, t string"), "k", "src", F.filter(F.split("t", " "), lambda w: w != ""))
     assert "Generate" not in plan(got)
     assert {r["k"]: tuple(r)[1:] for r in got.collect()} == {1: (None,) * 8, 2: (2, 3, 1, 2, 3, 2, 2, 5), 3: (None,) * 8, 4: (0, 2, 0, 0, 2, 0, 0, 2), 5: (2, 0, 0, 1, 1, 0, 4, 0)}
+
+
+def test_quantiles_are_exact_by_cells(spark):
+    random.seed(7)
+    data = [(i % 3, random.choice([random.gauss(0, 1), random.lognormvariate(0, 9), -random.lognormvariate(5, 3), 0.0, -0.0, 7.5])) for i in range(3000)]
+    data += [(0, None), (4, float("nan")), (4, 1e300), (4, float("inf")), (4, float("-inf")), (4, 5e-324), (5, 2.0), (6, None)]
+    df = spark.createDataFrame(data, "g int, x double")
+    points = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, points))).alias("q")).collect() if r["q"]}
+    said = lambda values: [str(v + 0.0) for v in values]  # noqa: E731  # zeros without a sign
+    assert {g: said(q) for g, q in quantiles(df, "g", "x", points).items()} == {g: said(q) for g, q in want.items()} and len(want) == 5
+    others = quantiles(df, "g", "x", points, {g: [h for h in range(6) if h != g] for g in range(3)})
+    for g, got in others.items():
+        assert said(got) == said(df.where(F.col("g") != g).agg(F.percentile("x", F.array(*map(F.lit, points)))).first()[0])
+    w = R.winsorised(df.where("g < 3"), "g", "x")
+    assert "percentile" not in plan(w).lower()
