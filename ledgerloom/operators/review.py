@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.quantiles import quantiles
+
 
 def agreement(pairs: DataFrame, by: Sequence[str], a: str, b: str, near: float = 0.01, far: float = 0.05) -> DataFrame:
     """Shares of rows with both values that agree within `near` and `far` of the second, and counts of the first class of disagreement."""
@@ -62,9 +64,9 @@ def class_summary(df: DataFrame, label: str, features: Sequence[str]) -> DataFra
 
 def quantile_table(df: DataFrame, features: Sequence[str], points: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
     """feature, point, value: linear quantiles of each feature."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s")).select("s.*").where("x IS NOT NULL")
-    told = long.groupBy("feature").agg(F.percentile("x", F.array(*map(F.lit, points))).alias("q"))
-    return told.select("feature", F.posexplode("q").alias("i", "value")).select("feature", F.get(F.array(*[F.lit(float(p)) for p in points]), F.col("i")).alias("point"), "value")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s")).select("s.*")
+    told = quantiles(long, "feature", "x", points)
+    return df.sparkSession.createDataFrame([(f, float(p), v) for f, values in told.items() for p, v in zip(points, values, strict=True)], "feature string, point double, value double")
 
 
 def pick(df: DataFrame, *candidates: str) -> Column:
