@@ -61,9 +61,14 @@ def id_status(expected: Column, text: Column) -> Column:
 
 def other_listings(listed: DataFrame) -> DataFrame:
     """code, other: codes of another listing of the same firm, by canonical name, and those whose ISIN marks a partly paid share."""
-    n = listed.select("code", "isin", names.canonical(F.col("name")).alias("norm")).where("norm <> ''")
-    same = n.alias("a").join(n.alias("b"), F.col("a.norm") == F.col("b.norm")).where("a.code <> b.code").select(F.col("a.code").alias("code"), F.col("b.code").alias("other"))
-    return same.unionByName(n.where("isin LIKE 'IN9%'").select("code", F.col("code").alias("other"))).distinct()
+    n = listed.select("code", "isin", names.canonical(F.col("name")).alias("norm")).where("norm <> '' AND code IS NOT NULL")
+    codes = n.select("norm", "code").distinct()
+    codes = codes.join(T.shuffled(codes.groupBy("code").agg((F.count(F.lit(1)) > 1).alias("many"))), "code")
+    # Only codes of several names can meet twice, so no other pair has to be held to find out.
+    side = lambda df, name, many: df.select("norm", F.col("code").alias(name), F.col("many").alias(many))
+    meet = lambda df: T.dealt_join(side(df, "code", "x"), side(df, "other", "y"), "norm").where("code <> other")
+    once, often = meet(codes).where("NOT (x AND y)").select("code", "other"), meet(codes.where("many")).select("code", "other").distinct()
+    return once.unionByName(often).unionByName(n.where("isin LIKE 'IN9%'").select("code", F.col("code").alias("other")).distinct())
 
 
 def unit_suspects(figures: DataFrame, rivals: DataFrame, tolerance: float = 0.15) -> DataFrame:

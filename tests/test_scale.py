@@ -127,3 +127,13 @@ def test_quantiles_are_exact_by_cells(spark):
         assert said(got) == said(df.where(F.col("g") != g).agg(F.percentile("x", F.array(*map(F.lit, points)))).first()[0])
     w = R.winsorised(df.where("g < 3"), "g", "x")
     assert "percentile" not in plan(w).lower()
+
+
+def test_other_listings_hold_no_pairs(spark):
+    data = [(i, "INE", f"Firm {i % 2} Ltd") for i in range(40)] + [(0, "IN9", "Twin"), (2, "INE", "Twin Ltd"), (0, "INE", "Firm 0"), (50, "INE", ""), (51, "IN9", "Lone")]
+    got = K.other_listings(spark.createDataFrame(data, "code int, isin string, name string"))
+    want = {(a, b) for a in range(40) for b in range(40) if a != b and a % 2 == b % 2} | {(0, 0), (51, 51)}
+    assert rows(got) == sorted(want, key=str)
+    left = spark.range(5000).select(F.lit("k").alias("g"), F.col("id").alias("a"))
+    dealt = T.dealt_join(left, left.select("g", F.col("a").alias("b")).where("b < 3"), "g", 100)
+    assert dealt.count() == 15000 == dealt.distinct().count()
