@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.quantiles import quantiles
-from ledgerloom.operators.tables import first_per_key
+from ledgerloom.operators.tables import dealt_join, first_per_key, shuffled
 
 
 def possibly_listed(debtors: DataFrame) -> DataFrame:
@@ -97,18 +97,30 @@ def healthy_pool(financials: DataFrame, *excluded: DataFrame) -> DataFrame:
     return financials.groupBy("firm_id").agg(F.array_sort(F.collect_set("fy")).alias("years"))
 
 
-def group_candidates(firms: DataFrame, pool: DataFrame, others: DataFrame, prefix: int = 8) -> DataFrame:
+def group_candidates(firms: DataFrame, pool: DataFrame, others: DataFrame, prefix: int = 8, few: int = 32) -> DataFrame:
     """firm, candidate, match_quality: candidates of the firm's own group, or where that has none those of its first `prefix` letters.
 
     firms: firm, group; pool: candidate, grp; others: firm, other (listings of one company). A firm is never its own candidate. Groups are
     joined, never all pairs; whether the own group has anyone is asked before the firm itself is taken out, as in the rule."""
     pool = pool.where("grp IS NOT NULL").dropDuplicates(["candidate"])
     filled = pool.select(F.col("grp").alias("group")).distinct().withColumn("__any", F.lit(True))
-    asked = firms.join(filled, "group", "left")
-    exact = asked.where("__any").join(pool, F.col("group") == F.col("grp")).select("firm", "candidate", F.lit("exact_industry").alias("match_quality"))
-    near = asked.where("__any IS NULL").withColumn("__p", F.substring("group", 1, prefix)).join(pool.withColumn("__q", F.substring("grp", 1, prefix)), F.col("__p") == F.col("__q"))
-    near = near.select("firm", "candidate", F.lit(f"industry_prefix_{prefix}").alias("match_quality"))
-    return exact.unionByName(near).where("firm <> candidate").join(others.select("firm", F.col("other").alias("candidate")), ["firm", "candidate"], "left_anti")
+    barred = others.where("firm IS NOT NULL AND other IS NOT NULL").select("firm", "other").distinct()
+    # A firm has few other listings: it takes them along, and no pair is shuffled for their sake. Those of a firm with many are joined.
+    told = barred.groupBy("firm").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= few)
+    brought = barred.join(shuffled(told), "firm", "left_semi").groupBy("firm").agg(F.collect_set("other").alias("__few"))
+    many = barred.join(shuffled(told), "firm", "left_anti").select("firm").distinct().withColumn("__many", F.lit(True))
+    asked = firms.select("firm", "group").join(shuffled(filled), "group", "left").join(shuffled(brought), "firm", "left").join(shuffled(many), "firm", "left")
+    key = F.when(F.col("__any"), F.col("group")).otherwise(F.substring("group", 1, prefix))
+    asked = asked.select(key.alias("__key"), "firm", "__few", "__many", F.coalesce("__any", F.lit(False)).alias("__any"))
+    exact = dealt_join(asked.where("__any"), pool.select(F.col("grp").alias("__key"), "candidate"), "__key")
+    near = dealt_join(asked.where("NOT __any"), pool.select(F.substring("grp", 1, prefix).alias("__key"), "candidate"), "__key")
+    out = None
+    for pairs, quality in ((exact, "exact_industry"), (near, f"industry_prefix_{prefix}")):
+        free = pairs.where("firm <> candidate").withColumn("match_quality", F.lit(quality))
+        easy = free.where(F.col("__many").isNull() & ~F.coalesce(F.array_contains("__few", F.col("candidate")), F.lit(False))).select("firm", "candidate", "match_quality")
+        hard = free.where("__many").select("firm", "candidate", "match_quality").join(shuffled(barred.withColumnRenamed("other", "candidate")), ["firm", "candidate"], "left_anti")
+        out = easy.unionByName(hard) if out is None else out.unionByName(easy).unionByName(hard)
+    return out
 
 
 def checked_documents(suspects: DataFrame, facts: DataFrame, field: str, sources: Sequence[str]) -> DataFrame:

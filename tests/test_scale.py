@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import amendments as A
 from ledgerloom.operators import cohort as K
 from ledgerloom.operators import documents as D
 from ledgerloom.operators import fuzzy as Z
@@ -137,3 +138,16 @@ def test_other_listings_hold_no_pairs(spark):
     left = spark.range(5000).select(F.lit("k").alias("g"), F.col("id").alias("a"))
     dealt = T.dealt_join(left, left.select("g", F.col("a").alias("b")).where("b < 3"), "g", 100)
     assert dealt.count() == 15000 == dealt.distinct().count()
+
+
+def test_group_candidates_shuffle_no_pairs(spark):
+    firms = spark.createDataFrame([(i, f"GROUP00{i % 2}{'AB'[i % 3 == 0]}") for i in range(60)], "firm int, group string")
+    pool = spark.createDataFrame([(i, f"GROUP00{i % 2}A") for i in range(60)], "candidate int, grp string")
+    others = spark.createDataFrame([(i, j) for i in range(0, 60, 6) for j in range(i)], "firm int, other int")
+    grp = lambda i: f"GROUP00{i % 2}"
+    want = sorted([(i, j, "industry_prefix_8" if i % 3 == 0 else "exact_industry") for i in range(60) for j in range(60) if i != j and grp(i) == grp(j) and not (i % 6 == 0 and j < i)], key=str)
+    for few in (32, 0):
+        got = A.group_candidates(firms, pool, others, few=few)
+        assert rows(got) == want
+    easy = A.group_candidates(firms, pool, others.where("other < 5"))
+    assert plan(easy).index("Union") < plan(easy).index("Join") and "__few" in plan(easy)
