@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import let
+
 # Factor of each unit to crore, and cells that mean "no figure".
 TO_CRORE = {"crore": 1.0, "lakh": 1e-2, "million": 1e-1, "billion": 1e2, "thousand": 1e-4, "hundred": 1e-5, "rupee": 1e-7}
 NIL = ["", "-", "--", "---", "–", "—", "―", "−", "nil", "nill", "null", "na", "n.a.", "n/a", "none", "not applicable", "*", "**", "#", "."]
@@ -26,11 +28,6 @@ def parse(raw: Column, unit: Column | str = "crore") -> Column:
     return let(F.trim(F.coalesce(raw.cast("string"), F.lit(""))), lambda text: _signed(text, raw, unit))
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with the value worked out once: a lambda's variable is not expanded where it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _signed(text: Column, raw: Column, unit: Column) -> Column:
     bracket = text.rlike(r"\(\s*[0-9.,OoIlSB|]+\s*\)")
     minus = text.rlike(r"^[-−–][0-9]") | text.rlike(r"[0-9][-−]$")

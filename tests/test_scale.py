@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text as X
 from ledgerloom.operators import amendments as A
 from ledgerloom.operators import cohort as K
 from ledgerloom.operators import documents as D
@@ -151,3 +152,11 @@ def test_group_candidates_shuffle_no_pairs(spark):
         assert rows(got) == want
     easy = A.group_candidates(firms, pool, others.where("other < 5"))
     assert plan(easy).index("Union") < plan(easy).index("Join") and "__few" in plan(easy)
+
+
+def test_tokens_are_worked_out_once_for_all_runs(spark):
+    df = spark.createDataFrame([("a b c d",), ("a b",), (None,)], "text string")
+    words = X.words(X.as_text("text"))
+    got = df.select(X.grams(words, 3).alias("g"))
+    assert plan(got).count("regexp_extract_all") == 1
+    assert [r["g"] for r in got.collect()] == [["a b c", "b c d"], [], []]
