@@ -12,6 +12,7 @@ from ledgerloom.operators import fuzzy as Z
 from ledgerloom.operators import ratios as R
 from ledgerloom.operators import shingles as S
 from ledgerloom.operators import tables as T
+from ledgerloom.operators import vectors as V
 from ledgerloom.operators.quantiles import quantiles
 
 
@@ -160,3 +161,18 @@ def test_tokens_are_worked_out_once_for_all_runs(spark):
     got = df.select(X.grams(words, 3).alias("g"))
     assert plan(got).count("regexp_extract_all") == 1
     assert [r["g"] for r in got.collect()] == [["a b c", "b c d"], [], []]
+
+
+def test_text_model_counts_terms_once_for_all_folds(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def split(text):
+        seen.add(1)
+        return text.split(" ")
+
+    data = [(i, i % 3, i % 2, f"s{i % 4}", ("good fine day" if i % 2 else "bad poor day") + f" n{i}") for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id int, fold int, label int, source string, text string").select("doc_id", "fold", "label", "source", split.asNondeterministic()("text").alias("tokens"))
+    got = V.tfidf_oof(docs, size=64, least_firms=2).collect()
+    assert len(got) == 60 and all((r["score"] > 0.5) == (r["label"] == 1) for r in got)
+    assert seen.value <= 4 * 60
